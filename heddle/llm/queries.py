@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, langid, toxicity
+from heddle.llm import bpe, langid, licenses, minhash, packing, toxicity
 from heddle.llm.common import fold
 
 
@@ -35,10 +35,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_clauses")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids packed into rows of 2,048."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components at Jaccard 0.85 of three-word shingles."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and scores of every document."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,
     "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {}

@@ -36,8 +36,8 @@ from heddle.llm.common import sample_share
 PER_CLASS = 6_000
 NEG_SPAN, TARGET_SPAN = 3, 4
 NEGATED, REPORTED, AIMED = 0.7, 0.8, 1.5
-SEED_WEIGHT, DEFAULT = 3.0, (-2.5, 1.0)
-LEAST_DOCS, LEAST_PRECISION = 3, 0.9
+SEED_WEIGHT, DEFAULT, KNEE = 3.0, (-2.5, 1.0), 3.5
+LEAST_DOCS, LEAST_PRECISION, SPECIFIC = 3, 0.9, 0.9
 
 # Fixed word lists of the grammar.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile")
@@ -50,6 +50,11 @@ WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 BREAK = re.compile(r"[.!?;:\n]")
 
 
+def squash(raw):
+    """Sums over KNEE, about one match, count a tenth: the first match decides, more only add certainty."""
+    return np.minimum(raw, KNEE) + 0.1 * np.maximum(np.asarray(raw, float) - KNEE, 0)
+
+
 @dataclass
 class Model:
     """Patterns (a word, or a beginning marked by a final *) with weights, and the logistic parameters."""
@@ -113,7 +118,7 @@ class Grammar:
         return sum(w for *_, w in self.matched(text))
 
     def score(self, text: str | None) -> float:
-        z = self.a + self.b * self.raw(text)
+        z = self.a + self.b * float(squash(self.raw(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -146,20 +151,12 @@ def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text", id_c
     marks = (
         sample.mapInArrow(count, "f string, pos bigint, neg bigint").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .where((F.col("pos") >= LEAST_DOCS) & (pos >= LEAST_PRECISION * (pos + neg)))
-        .orderBy(F.desc("pos"), F.length("f"), "f").limit(400).collect()
+        .orderBy(F.desc("pos"), F.length("f"), "f").limit(2000).collect()
     )
     model = Model()
     n_pos, n_neg = sizes[1] * share[1], sizes[0] * share[0]
     seeds = dict(model.weights)
-    chosen: dict[str, float] = {}
-    for r in marks:  # a beginning covers the longer ones and the words under it
-        f = r["f"]
-        if any(f.startswith(p[:-1]) for p in chosen if p[-1] == "*"):
-            continue
-        w = math.log((r["pos"] + 0.5) / (n_pos + 1)) - math.log((r["neg"] + 0.5) / (n_neg + 1))
-        if r["pos"] >= max(LEAST_DOCS, 0.005 * n_pos):
-            chosen[f] = round(max(0.5, w / 2), 6)
-    model.weights = {**seeds, **chosen}
+    model.weights = {**seeds, **specific({r["f"]: (r["pos"], r["neg"]) for r in marks}, n_pos, n_neg)}
     grammar = Grammar(model)
 
     def raws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +165,32 @@ def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text", id_c
 
     got = sample.mapInArrow(raws, "y int, raw double").collect()
     y = np.array([r["y"] for r in got], float)
-    x = np.minimum(np.array([r["raw"] for r in got], float), 30.0)
+    x = squash(np.array([r["raw"] for r in got], float))
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
     model.logistic = logistic(x, y, weight / weight.mean())
     return model
 
 
+def specific(marks: dict[str, tuple[int, int]], n_pos: float, n_neg: float) -> dict[str, float]:
+    """The marks worth keeping, each as its most specific form, with weights.
+
+    A mark gives way to the longest one under it that occurs in nearly (SPECIFIC) as many
+    toxic documents, so a beginning is used only where the endings vary.
+    """
+    chosen: dict[str, float] = {}
+    for f in sorted(marks, key=lambda x: (-marks[x][0], len(x), x)):
+        pos, neg = marks[f]
+        if pos < max(LEAST_DOCS, 0.004 * n_pos) or any(f.startswith(p[:-1]) if p[-1] == "*" else f == p for p in chosen):
+            continue
+        if f[-1] == "*":
+            under = [g for g in marks if g.startswith(f[:-1]) and marks[g][0] >= SPECIFIC * pos]
+            f = max(under, key=lambda g: (len(g.rstrip("*")), g[-1] != "*", g))
+            pos, neg = marks[f]
+        odds = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
+        chosen[f] = round(odds / 2, 6)
+    return chosen
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Intercept and slope by Newton's method with a small ridge; the slope stays positive."""
     t = np.array([-1.0, 0.5])
@@ -195,7 +212,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         grammar = Grammar(model)
         for b in batches:
             clauses = [grammar.matched(t) for t in b.column(1).to_pylist()]
-            z = np.clip(grammar.a + grammar.b * np.array([sum(w for *_, w in c) for c in clauses], float), -30, 30)
+            z = np.clip(grammar.a + grammar.b * squash(np.array([sum(w for *_, w in c) for c in clauses], float)), -30, 30)
             s = 1 / (1 + np.exp(-z))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([len(c) for c in clauses], pa.int64())], ["id", "score", "predicted", "n_clauses"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, langid, licenses, minhash, packing, toxicity
+from heddle.llm import bpe, decontaminate, langid, licenses, minhash, packing, toxicity
 from heddle.llm.common import fold
 
 
@@ -15,6 +15,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: whether it holds a benchmark passage, and which items."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id",
+        F.col("items").isNotNull().alias("contaminated"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids and decoded bytes of every document, as digests."""
     return bpe.round_trip(read(spark, sf_dir, "documents"))
@@ -51,6 +63,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,
     "op7_toxicity": op7_toxicity,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, decontaminate, langid, licenses, minhash, packing, toxicity
+from heddle.llm import ann, bpe, decontaminate, langid, licenses, minhash, packing, toxicity
 from heddle.llm.common import fold
 
 
@@ -15,6 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: whether it holds a benchmark passage, and which items."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +69,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ann": op2_ann,
     "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import ann, bpe, decontaminate, langid, licenses, minhash, packing, toxicity
+from heddle.llm import ann, bpe, decontaminate, langid, licenses, minhash, packing, repeats, toxicity
 from heddle.llm.common import fold
 
 
@@ -15,6 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document under 50-byte strings that an earlier document holds."""
+    return repeats.repeats(read(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
     vectors = read(spark, sf_dir, "embeddings")
@@ -69,6 +74,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_ann": op2_ann,
     "op3_decontaminate": op3_decontaminate,
     "op5_bpe": op5_bpe,

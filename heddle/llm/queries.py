@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import ann, bpe, decontaminate, langid, licenses, minhash, packing, repeats, toxicity
+from heddle.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, packing, repeats, toxicity
 from heddle.llm.common import fold
 
 
@@ -38,6 +38,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its lines, and the numbers of those that go as near duplicates of a line that stays."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.matched(docs.select("doc_id", "text"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.when(F.length("row.text") > 0, F.size(F.split("row.text", "\n"))).otherwise(0).cast("bigint").alias("n_lines"),
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids and decoded bytes of every document, as digests."""
     return bpe.round_trip(read(spark, sf_dir, "documents"))
@@ -77,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_ann": op2_ann,
     "op3_decontaminate": op3_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_langid": op6_langid,
     "op7_toxicity": op7_toxicity,

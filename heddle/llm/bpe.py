@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
@@ -85,8 +86,8 @@ def decode(ids: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_
     return out.withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256, round_trip: digests of ids and of the bytes they decode to.
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256, round_trip: digests of ids and of the bytes they decode to; or the ids too.
 
     One pass encodes and decodes, so that ids do not travel between two Python stages.
     """
@@ -95,7 +96,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            n, ids_sha, raw_sha, same = [], [], [], []
+            n, ids_sha, raw_sha, same, kept = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 ids = encode_text(enc, text)
                 raw = enc.decode_bytes(ids)
@@ -103,13 +104,14 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 raw_sha.append(hashlib.sha256(raw).hexdigest())
                 same.append(raw == (text or "").encode())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(raw_sha), pa.array(same)],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
-            )
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string()), pa.array(same, pa.bool_())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.list_(pa.int32()))] if with_ids else cols, [*names, "ids"] if with_ids else names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+        run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     )
     return out.withColumnRenamed("id", id_col)

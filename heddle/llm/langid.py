@@ -76,33 +76,52 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
     return profiles
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
-    """id_col, lang_pred, score: the nearest profile; score = second distance / (first + second)."""
-    langs = sorted(profiles)
-    vocab = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
-    place = np.full((len(vocab), len(langs)), top, np.int32)
-    for j, lang in enumerate(langs):
-        place[np.searchsorted(vocab, np.array(profiles[lang], np.int64)), j] = np.arange(len(profiles[lang]))
-
-    def one(text: str | None) -> tuple[str, float]:
-        g = grams(text)
-        if not len(g) or not langs:
+class Judge:
+    """The profiles as one table of ranks, and the nearest profile of a text."""
+
+    def __init__(self, profiles: dict[str, list[int]], top: int):
+        self.top, self.langs = top, sorted(profiles)
+        self.vocab = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
+        self.place = np.full((len(self.vocab), len(self.langs)), top, np.int32)
+        for j, lang in enumerate(self.langs):
+            self.place[np.searchsorted(self.vocab, np.array(profiles[lang], np.int64)), j] = np.arange(len(profiles[lang]))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        g, top = grams(text), self.top
+        if not len(g) or not self.langs:
             return "und", 0.0
         own = ranked(*np.unique(g, return_counts=True), top)
-        at = np.minimum(np.searchsorted(vocab, own), len(vocab) - 1)
-        known = vocab[at] == own
-        far = np.abs(place[at[known]] - np.arange(len(own))[known, None])
-        far = np.where(place[at[known]] == top, top, far).sum(axis=0) + top * int((~known).sum())
+        at = np.minimum(np.searchsorted(self.vocab, own), len(self.vocab) - 1)
+        known = self.vocab[at] == own
+        near = self.place[at[known]]
+        far = np.where(near == top, top, np.abs(near - np.arange(len(own))[known, None])).sum(axis=0) + top * int((~known).sum())
         order = np.argsort(far, kind="stable")
         first = float(far[order[0]])
-        second = float(far[order[1]]) if len(langs) > 1 else float(top * len(own))
-        return langs[order[0]], second / (first + second) if first + second else 0.5
+        second = float(far[order[1]]) if len(self.langs) > 1 else float(top * len(own))
+        return self.langs[order[0]], second / (first + second) if first + second else 0.5
+
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
+    """id_col, lang_pred, score: the nearest profile; score = second distance / (first + second)."""
+    judge = Judge(profiles, top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [one(t) for t in b.column(1).to_pylist()]
+            got = [judge(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def kept(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", top: int = TOP) -> DataFrame:
+    """The rows of `docs`, whole, whose language isn't `und`; without profiles, those with a letter."""
+    judge = Judge(profiles or {"any": []}, top)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([judge(t)[0] != "und" for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -90,6 +90,8 @@ class Judge:
         g, top = grams(text), self.top
         if not len(g) or not self.langs:
             return "und", 0.0
+        if not len(self.vocab):
+            return self.langs[0], 0.5
         own = ranked(*np.unique(g, return_counts=True), top)
         at = np.minimum(np.searchsorted(self.vocab, own), len(self.vocab) - 1)
         known = self.vocab[at] == own

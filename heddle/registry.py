@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.sources.tables import table
+Query = Callable[[SparkSession, str], DataFrame]
+OPS: dict[str, tuple[Query, str | None]] = {}
 
-OPS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query with its oracle SQL."""
+    def add(f: Query) -> Query:
+        if name in OPS:
+            raise ValueError(f"query {name} is registered twice")
+        OPS[name] = (f, sql)
+        return f
+
+    return add
+
+
+def load() -> dict[str, tuple[Query, str | None]]:
+    from heddle.queries import evaluation, governance, graph, incremental, retrieval  # noqa: F401
+
+    return OPS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region")
+    return load()["hybrid_search"][0](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in OPS.items()}
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in load().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in OPS.items() if sql}
+    return {k: sql for k, (_, sql) in load().items() if sql}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import sample_share
+from heddle.llm.common import materialize, sample_share
 
 PER_CLASS = 6_000
 NEG_SPAN, TARGET_SPAN = 3, 4
@@ -127,15 +127,20 @@ def features(text: str) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in range(3, min(len(w), 8) + 1)}
 
 
-def fit(train: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
-    """A model from labelled rows: patterns by log-odds, then the logistic parameters."""
-    train = train.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in train.groupBy(label_col).count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
+    """A model from labelled rows: patterns by log-odds, then the logistic parameters.
+
+    The sample is drawn from `labels` first; its ids, about `per_class` of each class at any
+    size of the input, are broadcast, so texts are not shuffled.
+    """
+    labels = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("y"))
+    sizes = {r[0]: r[1] for r in labels.groupBy("y").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model()
     share = {y: min(1.0, per_class / n) for y, n in sizes.items()}
-    wanted = ((F.col(label_col) == 0) & sample_share(F.col(id_col), share[0])) | ((F.col(label_col) == 1) & sample_share(F.col(id_col), share[1]))
-    sample = train.where(wanted).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"))
+    drawn = labels.where(sample_share(F.col(id_col), share[0]) & (F.col("y") == 0) | sample_share(F.col(id_col), share[1]) & (F.col("y") == 1))
+    texts = docs.select(id_col, F.col(text_col).alias("text")).where("text is not null")
+    sample = materialize(texts.join(F.broadcast(drawn), id_col).select("y", "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = (Counter(), Counter())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, packing, repeats, toxicity
+from heddle.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, oracles, packing, repeats, toxicity
 from heddle.llm.common import fold
 
 
@@ -98,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_repeats": oracles.REPEATS, "op9_minhash": oracles.MINHASH}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

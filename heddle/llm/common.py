@@ -18,11 +18,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files go as soon as it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,13 +8,13 @@ smaller id; every byte under a repeated string goes. Strings are judged on the i
 2. Parse. A rolling hash of TRIGGER bytes cuts documents into phrases; a phrase also holds
    the LENGTH - 1 bytes behind it, so every string lies in exactly one phrase and equal
    phrases hold equal strings (the parse is prefix-free). The chunk's dictionary has each
-   distinct phrase once, with the least id that holds it, in the order of a 128-bit hash.
+   distinct phrase once, with the least id that holds it, in the order of a 96-bit hash.
    A phrase that an earlier document holds is repeated as a whole; what is left are first
    occurrences.
 3. Suffixes. A suffix of the dictionary matters only by its first LENGTH bytes, and equal
    ones have the same minimizer (least hash of the KMER-byte strings inside). Minimizers of
    first occurrences are put into one corpus order; only suffixes whose minimizer several
-   documents hold are ordered further, by a 128-bit tabulation hash of their bytes. As only
+   documents hold are ordered further, by a 96-bit tabulation hash of their bytes. As only
    equality at that depth counts, the order is that of the hashes, not of the bytes; equal
    strings are neighbours in it all the same, across phrases and chunks.
 4. Every order is made of hash ranges (buckets). A chunk asks a bucket about each distinct
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import materialize
 
-LENGTH, TRIGGER, KMER, PHRASE = 50, 16, 24, 256
-CHUNK, BUCKET = 4 << 20, 16 << 20  # bytes of text in a chunk, and for each bucket
+LENGTH, TRIGGER, KMER, PHRASE = 50, 16, 32, 64
+CHUNK, BUCKET = 2 << 20, 8 << 20  # bytes of text in a chunk, and for each bucket
 BLOCK = 1 << 17
 LAST = 2**63 - 1  # the place of a null id
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -96,7 +96,7 @@ def block_hashes(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     for level, k in enumerate((1, 2, 4)):
         h = doubled(h, k, level)
     sixteen = doubled(h, 8, 3)
-    least = spread(sixteen[:-8] * ODD[4] + h[16:])
+    least = spread(doubled(sixteen, 16, 4))
     width, k = length - KMER + 1, 1
     while 2 * k <= width:
         least = np.minimum(least[:-k], least[k:])
@@ -156,7 +156,7 @@ class Chunk:
         view, more = memoryview(self.bytes), self.length - 1
         names = b"".join([xxhash.xxh3_128_digest(view[a : z + more]) for a, z in zip(self.phrase_at.tolist(), self.phrase_end.tolist())])
         wide = np.frombuffer(names, ">u8").astype(np.uint64).reshape(-1, 2)
-        return Keys(wide[:, 0], wide[:, 1], self.ids[self.phrase_doc])
+        return Keys(wide[:, 0], wide[:, 1] >> np.uint64(32), self.ids[self.phrase_doc])
 
     def first_seen(self, old_phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray, Keys]:
         """Masks of string starts in repeated and in first phrases, and the distinct minimizers of the latter.
@@ -183,7 +183,7 @@ class Chunk:
         return np.flatnonzero(fresh & self.filled(self.run_at[shared], self.run_end[shared]))
 
     def suffixes(self, at: np.ndarray) -> Keys:
-        """The distinct strings that start at `at`, by a 128-bit tabulation hash."""
+        """The distinct strings that start at `at`, by a 96-bit tabulation hash."""
         table = tables(self.length)
         hi, lo = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         for a in range(0, len(at), 65_536):
@@ -193,7 +193,7 @@ class Chunk:
                 hi[a : a + 65_536] ^= table[0, j][c]
                 lo[a : a + 65_536] ^= table[1, j][c]
         doc = np.searchsorted(self.ends, at, "right")
-        return Keys(hi, lo, self.ids[doc])
+        return Keys(hi, lo >> np.uint64(32), self.ids[doc])
 
 
 @lru_cache(maxsize=4)
@@ -345,8 +345,8 @@ def requests_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of the removed runs; with `texts` also kept (binary)."""
-    if length <= KMER + 8:
-        raise ValueError(f"length must be over {KMER + 8}")
+    if length <= KMER:
+        raise ValueError(f"length must be over {KMER}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = materialize(chunked(docs, id_col, text_col), "chunks")

@@ -13,7 +13,7 @@ sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = HERE + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 HEADLINE = (
-    "edge_dedup", "neighbors_out_2hop", "impact_by_hop", "callchain_subgraph", "bm25_top30", "card_lane", "rrf_fusion",
+    "edge_dedup", "neighbors_out_2hop", "callchain_subgraph", "bm25_top30",
     "hybrid_search", "vector_top30", "recall_mrr", "graph_expand_scores", "session_gate", "increment_plan", "retract_edges",
     "merkle_repo", "propagate_changes", "paired_effect", "run_trace_legality", "events_tumbling", "text_windows",
 )

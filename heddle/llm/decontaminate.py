@@ -3,19 +3,19 @@
 A document is contaminated by an item when a window of its normalised text (lower case,
 white space runs as one space) is within MAX_EDITS of the item's length in edit distance.
 
-1. Where windows can be: an item within SURE edits of a window shares at least
-   n - Q + 1 - Q * SURE * n of its Q-grams with it (the q-gram lemma), so only places where
-   shared grams are that dense are looked at, at the starts the shared grams agree on.
-2. CGK: each window of the item's size, and each item, walks randomly through itself; the
-   walk maps edit distance to Hamming distance.
-3. Bit sampling: REPEATS times, SAMPLED coordinates of a walk make a key; a window is a
-   candidate of every item that shares a key, so recall is 1 - (1 - p^SAMPLED)^(REPEATS)
-   for walks that agree on a share p of coordinates: 0.98 at p = 0.5.
-4. Each candidate is verified by exact edit distance against the best-aligned text there.
+1. Items are cut into pieces of about PIECE characters. If an item is within MAX_EDITS of a
+   window, so is one of its pieces of its own part, and that piece of m characters shares at
+   least m - Q + 1 - Q * MAX_EDITS * m of its Q-grams with it (the q-gram lemma), on diagonals
+   at most MAX_EDITS * m apart. Every place with so many shared grams is a candidate; items
+   too short for the bound are candidates everywhere. So no window within MAX_EDITS is lost.
+2. Each candidate is verified by exact edit distance against the text around it.
+
+Hashed walks (CGK) with bit-sampled keys are not used: after complete candidates they could
+only lose windows, and at 20 % edits few coordinates of two walks agree.
 
 Items go to the tasks in blocks of at most ITEM_CHARS characters, one scan per block, so
 nothing broadcast grows with the benchmark. Defined cases: null, empty and blank texts match
-nothing; items shorter than Q characters after normalising match by containment; of equal
+nothing; items shorter than SHORT characters after normalising match by containment; of equal
 matches the first place counts; repeated rows are checked each.
 """
 
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 8
-SURE, MAX_EDITS = 0.1, 0.2
-WALKS, SAMPLED, REPEATS = 8, 5, 120
-ITEM_CHARS, BATCH = 4_000_000, 512
+Q, SHORT, PIECE = 4, 8, 100
+MAX_EDITS = 0.2
+WIDTH = 5  # bits of a diagonal in one cell: 32, more than the edits of the longest piece
+ITEM_CHARS, CELLS, BUCKETS = 4_000_000, 4_000_000, 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,51 +45,25 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def gram_hashes(c: np.ndarray) -> np.ndarray:
-    """A hash of every Q-gram (Q is 8) by doubling."""
-    h = c.astype(np.uint64) * STEP
-    for k, mul in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9), (4, 0xD6E8FEB86659FD93)):
-        h = h[:-k] * np.uint64(mul) + h[k:]
-    return h ^ (h >> np.uint64(29))
+def buckets(c: np.ndarray) -> np.ndarray:
+    """A bucket for every Q-gram; two grams in one bucket make candidates, but lose none."""
+    h = c.astype(np.uint64)
+    g = h[: len(h) - Q + 1]
+    for k in range(1, Q):
+        g = g * STEP + h[k : len(h) - Q + 1 + k]
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (g >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
 
-def cgk(texts: list[np.ndarray], sizes: np.ndarray, walks: int = WALKS) -> np.ndarray:
-    """texts x walks x 3 * longest: each walk writes the current character, then stays or moves by a random bit."""
-    longest = int(sizes.max())
-    block = np.zeros((len(texts), longest + 1), np.uint32)  # 0 pads past the end
-    for k, (t, n) in enumerate(zip(texts, sizes)):
-        block[k, : min(n, len(t))] = t[:n]
-    at = np.zeros((len(texts), walks), np.int64)
-    row = np.arange(len(texts))[:, None]
-    seed = mix(np.arange(1, walks + 1, dtype=np.uint64) * STEP)
-    out = np.empty((3 * longest, len(texts), walks), np.uint32)
-    for j in range(3 * longest):
-        out[j] = block[row, np.minimum(at, longest)]
-        at += (mix(out[j] * STEP + seed + np.uint64(j * 0x632BE5AB)) & np.uint64(1)).astype(np.int64)
-    return out
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of an item of n characters."""
+    k = max(1, round(n / PIECE))
+    return [(j * n // k, (j + 1) * n // k) for j in range(k)]
 
 
-@lru_cache(maxsize=4096)
-def picked(size: int) -> np.ndarray:
-    """REPEATS x SAMPLED coordinates of the walks of a text of this size."""
-    return np.random.default_rng(size * 7 + 1).integers(0, 3 * size, (REPEATS, SAMPLED))
-
-
-def keys_of(texts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """texts x REPEATS keys, each of SAMPLED coordinates of one walk of the text's first `size` characters."""
-    walked = cgk(texts, sizes)
-    picks = np.stack([picked(int(n)) for n in sizes])
-    which = np.arange(len(texts))[:, None]
-    h = np.broadcast_to(np.arange(1, REPEATS + 1, dtype=np.uint64), (len(texts), REPEATS))
-    for s in range(SAMPLED):
-        h = mix(h * STEP + walked[picks[:, :, s], which, np.arange(REPEATS) % WALKS])
-    return h
+def bound(m: int) -> int:
+    """Grams that a piece of m characters shares at least with a window within MAX_EDITS."""
+    return m - Q + 1 - Q * int(MAX_EDITS * m)
 
 
 def edit_search(item: str, text: str, most: int) -> tuple[int, int] | None:
@@ -117,85 +91,79 @@ def edit_search(item: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Items:
-    """A block of benchmark items: their grams, and the LSH index of their walks."""
+    """A block of benchmark items, and the grams of their pieces by bucket."""
 
     def __init__(self, items):
         made = sorted((i, normal(t)) for i, t in items)
-        self.short = [(i, t) for i, t in made if 0 < len(t) < Q]
-        self.items = [(i, t) for i, t in made if len(t) >= Q]
-        grams, owner, place = [], [], []
+        self.short = [(i, t) for i, t in made if 0 < len(t) < SHORT]
+        self.items = [(i, t) for i, t in made if len(t) >= SHORT]
+        self.anywhere, grams, piece, place, least, owner, offset = [], [], [], [], [], [], []
         for k, (_, t) in enumerate(self.items):
-            g = gram_hashes(codes(t))
-            grams.append(g)
-            owner.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
-        if not self.items:
+            parts = pieces(len(t))
+            if min(bound(y - x) for x, y in parts) < 1:
+                self.anywhere.append(k)
+                continue
+            for x, y in parts:
+                g = buckets(codes(t[x:y]))
+                grams.append(g)
+                piece.append(np.full(len(g), len(least)))
+                place.append(np.arange(len(g)))
+                least.append(bound(y - x))
+                owner.append(k)
+                offset.append(x)
+        self.least, self.owner, self.offset = np.array(least), owner, offset
+        if not least:
             return
         every = np.concatenate(grams)
         order = np.argsort(every, kind="stable")
-        self.grams, self.owner, self.place = every[order], np.concatenate(owner)[order], np.concatenate(place)[order]
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[self.grams & np.uint64((1 << 22) - 1)] = True
-        n = np.array([len(t) for _, t in self.items])
-        self.size = n
-        self.least = np.maximum(1, n - Q + 1 - np.floor(Q * SURE * n)).astype(int)
-        self.span = int(n.max() * (1 + SURE)) + 1
-        self.index: dict[int, set[int]] = defaultdict(set)
-        for b in range(0, len(n), BATCH):
-            for k, row in enumerate(keys_of([codes(t) for _, t in self.items[b : b + BATCH]], n[b : b + BATCH]), b):
-                for key in row.tolist():
-                    self.index[key].add(k)
-
-    def starts(self, c: np.ndarray) -> list[tuple[int, int]]:
-        """(start, item) where enough of an item's grams agree on where it would start."""
-        if len(c) < Q:
-            return []
-        g = gram_hashes(c)
-        hit = np.flatnonzero(self.filter[g & np.uint64((1 << 22) - 1)])
-        lo = np.searchsorted(self.grams, g[hit], "left")
-        times = np.searchsorted(self.grams, g[hit], "right") - lo
-        if not times.any():
+        self.piece, self.place = np.concatenate(piece)[order], np.concatenate(place)[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=1 << BUCKETS))])
+        self.most = int(self.place.max()) + 1
+        self.chunk = max(2048, (CELLS // len(least)) << WIDTH)
+
+    def starts(self, c: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, least, greatest start) where enough of a piece's grams agree on where the item would start."""
+        if len(c) < Q or not len(self.least):
             return []
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        item = self.owner[at]
-        # Items far apart on one line, so that one sort and one search count agreeing starts of all items.
-        room = len(c) + 4 * self.span
-        key = np.sort(item * room + np.repeat(hit, times) - self.place[at] + self.span)
-        item = key // room
-        slack = np.maximum(1, (SURE * self.size[item]).astype(np.int64))
-        count = np.searchsorted(key, key + 2 * slack + 1) - np.arange(len(key))
-        found, last = [], -1
-        for x in np.flatnonzero(count >= self.least[item]):
-            if key[x] > last:
-                inside = key[x : x + count[x]]
-                values, seen = np.unique(inside, return_counts=True)
-                found.append((max(0, int(values[seen.argmax()] % room) - self.span), int(item[x])))
-                last = int(inside[-1])
-        return found
+        g, found = buckets(c), set()
+        # Chunks overlap by more than a piece can reach in the text.
+        for base in range(0, len(g), self.chunk):
+            part = g[base : base + self.chunk + 2 * self.most]
+            lo = self.first[part]
+            times = self.first[part + 1] - lo
+            ends = np.cumsum(times)
+            if not ends[-1]:
+                continue
+            at = np.repeat(lo - ends + times, times) + np.arange(ends[-1])
+            cols = ((len(part) + self.most) >> WIDTH) + 2
+            cell = (np.repeat(np.arange(len(part)) + self.most, times) - self.place[at]) >> WIDTH
+            seen = np.bincount(self.piece[at] * cols + cell, minlength=len(self.least) * cols).reshape(-1, cols)
+            for p, b in zip(*np.nonzero(seen[:, :-1] + seen[:, 1:] >= self.least[:, None])):
+                start = base + (int(b) << WIDTH) - self.most - self.offset[p]
+                found.add((self.owner[p], start, start + (2 << WIDTH)))
+        return sorted(found)
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(row, item id, start, end, distance) for the normalised texts of a batch."""
         out = [(r, i, t.find(x), t.find(x) + len(x), 0) for r, t in enumerate(texts) for i, x in self.short if x in t]
-        if not self.items:
-            return out
-        windows = []
         for r, t in enumerate(texts):
-            c = codes(t)
-            windows += [(r, s, k, c) for s, k in self.starts(c)]
-        done = set()
-        windows.sort(key=lambda w: (self.size[w[2]], w[0], w[1]))
-        for b in range(0, len(windows), BATCH):
-            part = windows[b : b + BATCH]
-            for (r, s, _, _), row in zip(part, keys_of([c[s:] for _, s, _, c in part], self.size[[w[2] for w in part]])):
-                for k in sorted({k for key in row.tolist() for k in self.index.get(key, ())}):
-                    if (r, k) in done:
-                        continue
-                    item = self.items[k][1]
-                    most = int(MAX_EDITS * len(item))
-                    base = max(0, s - most)
-                    if hit := edit_search(item, texts[r][base : s + len(item) + most], most):
-                        done.add((r, k))
-                        out.append((r, self.items[k][0], max(0, base + hit[1] - len(item)), base + hit[1], hit[0]))
+            windows: dict[int, list[list[int]]] = {k: [[0, len(t)]] for k in self.anywhere}
+            for k, low, high in self.starts(codes(t)):
+                n = len(self.items[k][1])
+                most = int(MAX_EDITS * n)
+                low, high = max(0, low - most), high + n + most
+                spans = windows.setdefault(k, [])
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], high)
+                else:
+                    spans.append([low, high])
+            for k, spans in windows.items():
+                i, item = self.items[k]
+                for low, high in spans:
+                    if hit := edit_search(item, t[low:high], int(MAX_EDITS * len(item))):
+                        end = low + hit[1]
+                        out.append((r, i, max(0, end - len(item)), end, hit[0]))
+                        break
         return out
 
 

@@ -97,7 +97,7 @@ class Items:
         made = sorted((i, normal(t)) for i, t in items)
         self.short = [(i, t) for i, t in made if 0 < len(t) < SHORT]
         self.items = [(i, t) for i, t in made if len(t) >= SHORT]
-        self.anywhere, grams, piece, place, least, owner, offset = [], [], [], [], [], [], []
+        self.anywhere, grams, piece, place, least, slack, owner, offset = [], [], [], [], [], [], [], []
         for k, (_, t) in enumerate(self.items):
             parts = pieces(len(t))
             if min(bound(y - x) for x, y in parts) < 1:
@@ -109,9 +109,10 @@ class Items:
                 piece.append(np.full(len(g), len(least)))
                 place.append(np.arange(len(g)))
                 least.append(bound(y - x))
+                slack.append(int(MAX_EDITS * (y - x)))
                 owner.append(k)
                 offset.append(x)
-        self.least, self.owner, self.offset = np.array(least), owner, offset
+        self.least, self.slack, self.owner, self.offset = np.array(least), np.array(slack, np.int64), owner, offset
         if not least:
             return
         every = np.concatenate(grams)
@@ -138,9 +139,23 @@ class Items:
             cols = ((len(part) + self.most) >> WIDTH) + 2
             cell = (np.repeat(np.arange(len(part)) + self.most, times) - self.place[at]) >> WIDTH
             seen = np.bincount(self.piece[at] * cols + cell, minlength=len(self.least) * cols).reshape(-1, cols)
-            for p, b in zip(*np.nonzero(seen[:, :-1] + seen[:, 1:] >= self.least[:, None])):
-                start = base + (int(b) << WIDTH) - self.most - self.offset[p]
-                found.add((self.owner[p], start, start + (2 << WIDTH)))
+            # Two neighbouring cells cover every range of diagonals; their hits are then counted in exact ranges.
+            full = seen[:, :-1] + seen[:, 1:] >= self.least[:, None]
+            near = np.zeros(seen.shape, bool)
+            near[:, :-1] = full
+            near[:, 1:] |= full
+            held = np.flatnonzero(near.ravel()[self.piece[at] * cols + cell])
+            if not len(held):
+                continue
+            room = cols << WIDTH
+            line = np.repeat(np.arange(len(part)), times)[held] + self.most - self.place[at[held]]
+            key = np.sort(self.piece[at[held]] * (2 * room) + line)
+            owner = key // (2 * room)
+            count = np.searchsorted(key, key + self.slack[owner] + 1) - np.arange(len(key))
+            for x in np.flatnonzero(count >= self.least[owner]):
+                p = owner[x]
+                start = base + int(key[x] - p * (2 * room)) - self.most - self.offset[p]
+                found.add((self.owner[p], start, start + int(self.slack[p])))
         return sorted(found)
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:

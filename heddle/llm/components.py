@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialize
+from heddle.llm.common import discard, materialize
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -45,8 +45,9 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     for _ in range(most):
         if not before[0]:
             break
-        edges = materialize(small_star(large_star(edges)), name)
+        last, edges = edges, materialize(small_star(large_star(edges)), name)
         after = state(edges)
+        discard(last)
         if after == before:
             break
         before = after

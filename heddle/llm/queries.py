@@ -59,7 +59,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from profiles learned on the rows whose fold is not 1."""
     docs = read(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(fold("doc_id", 3) != 1))
-    return langid.predict(docs, profiles).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, profiles).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 5) != 0)
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_clauses")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_clauses")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

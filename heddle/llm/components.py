@@ -1,13 +1,25 @@
-"""Connected components by alternating large-star and small-star, with DataFrame operations only.
+"""Near-duplicate classes from LSH bands, and connected components, with DataFrame operations only.
+
+Components come by alternating large-star and small-star.
 
 Each round rewires every node's neighbours to the least neighbour: first the larger ones
 (large-star), then the smaller ones and the node itself (small-star). Rounds repeat until
 the edges no longer change; then every node hangs directly on its component's least node.
 Each round is written to the shared folder, so a lost executor costs at most one round.
+
+Classes: in each band every member is compared with one of them, its centre (a star), so that
+a large group of variants becomes one component without its pairs. ROUNDS stars with other
+centres follow in the bands that still hold several components, for members outside the
+centre's. In what is then still mixed, members outside a band's largest component meet those of
+its other components: directly in bands of at most FEW members, else by way of `rare`, which
+names the few rare things two members must share one of. No pair of a band is lost, and a
+frequent passage in very many different members makes no pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +67,67 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
         raise RuntimeError("components did not converge")
     hung = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return hung.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+ROUNDS, FEW = 3, 64
+
+
+def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` with comp: the component of id, else id itself."""
+    named = found.select(F.col("node").alias("id"), "component")
+    return rows.join(named, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def mixed(placed: DataFrame) -> DataFrame:
+    """The rows of `placed` (key, id, comp) in bands of several components, with m, the members of the band."""
+    code = F.xxhash64("comp")
+    keys = placed.groupBy("key").agg(F.min(code).alias("x"), F.max(code).alias("y"), F.count("*").alias("m")).where("x < y").select("key", "m")
+    return placed.join(keys, "key")
+
+
+def star(rows: DataFrame, turn: int) -> DataFrame:
+    """a, b: each band's centre of this turn with every member outside the centre's component."""
+    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("c"))
+    pairs = rows.join(centre, "key").where("comp <> c.comp")
+    return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+
+
+def outside(rows: DataFrame, key: str) -> DataFrame:
+    """a, b: in each `key`, the members outside its largest component with those of its other components."""
+    sizes = rows.groupBy(key, "comp").agg(F.count("*").alias("size"))
+    top = sizes.groupBy(key).agg(F.max(F.struct("size", "comp")).alias("top")).select(key, F.col("top.comp").alias("most"))
+    left = rows.join(top, key).where("comp <> most").select(key, F.col("id").alias("u"), F.col("comp").alias("cu"))
+    pairs = left.join(rows.select(key, F.col("id").alias("v"), F.col("comp").alias("cv")), key).where("cu <> cv")
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def rare(tokens: DataFrame, percent: int) -> DataFrame:
+    """t, id, comp: of each member's distinct `tokens` (id, comp, t), those that one at `percent` similarity must share one of.
+
+    Of n tokens, from rare to frequent, these are the first n - ceil(percent n) + 1 (prefix filter).
+    """
+    often = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    ranked = tokens.join(often, "t").groupBy("id", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
+    first = F.size("r") - F.ceil(F.size("r") * percent / 100).cast("int") + 1
+    return ranked.select("id", "comp", F.explode(F.slice("r", F.lit(1), first)).alias("r")).where("r.df > 1").select(F.col("r.t").alias("t"), "id", "comp")
+
+
+def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """node, component for the members of `held` (key, id) that are linked.
+
+    `verified` keeps the true links of pairs (a, b); `tokens` gives the tokens (id, comp, t) of
+    members (id, comp), of which two linked ones share `percent` of the union.
+    """
+    now, links = held.withColumn("comp", F.col("id")), None
+    for turn in range(ROUNDS):
+        new = materialize(verified(star(now, turn)), "links")
+        links = new if links is None else links.unionByName(new)
+        found = components(links, "stars")
+        now = materialize(mixed(with_component(now.select("key", "id"), found)), "mixed")
+        if now.isEmpty():
+            return found
+    pairs = outside(now.where(F.col("m") <= FEW), "key")
+    many = now.where(F.col("m") > FEW).select("id", "comp").distinct()
+    if not many.isEmpty():
+        pairs = pairs.unionByName(outside(materialize(rare(tokens(many), percent), "rare"), "t"))
+    return components(links.unionByName(verified(pairs.distinct())), "classes")

@@ -1,18 +1,22 @@
 """Near-duplicate documents by MinHash (operator 9).
 
 1. Each whole text becomes its set of word shingles (64-bit hashes); texts with equal sets
-   form a class, represented by its least id, so copies never meet pair by pair.
-2. BANDS x ROWS universal hash minima give band keys; classes that share a key join the
-   key's least class, and connected components of those links are families: every pair
-   that shares a band is inside one family.
-3. Families are split into blocks of bounded size; each pair of blocks is one unit of work
-   in which full sets are intersected and the true links kept, as a spanning forest.
-4. Connected components of the links, by alternating large-star and small-star, are the
+   form a class, named by 128 bits, so copies never meet pair by pair.
+2. BANDS x ROWS universal hash minima give band keys; classes that share a key are suspects.
+3. Within each band classes are compared by stars with changing centres, then across the
+   components that are left (see `components`).
+4. Signature verification: a byte of each of the minima agrees in a share of them near the
+   similarity; pairs whose agreement is over SIGMAS deviations below `percent` go. The others
+   are confirmed on full sets.
+5. Connected components of the links, by alternating large-star and small-star, are the
    near-duplicate components.
 
-With 40 bands of 8 rows a pair at Jaccard 0.85 shares no band with probability 3e-6.
-Defined cases: a null, empty or blank text has an empty set, n_shingles 0, and is its own
-component; fewer words than a shingle make one shingle; repeated rows of one id count once.
+With 40 bands of 8 rows a pair at Jaccard 0.85 shares no band with probability 3e-6, and is
+lost by its signature with 1e-8. Defined cases: a null, empty or blank text has an empty set,
+n_shingles 0, and is its own component; fewer words than a shingle make one shingle; equal
+rows count once, and an id with several texts has a row for each; a null id is no component's
+name: rows without id have the least id of their component, are kept only where it has none,
+and component_id is null there; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialize
-from heddle.llm.components import components
+from heddle.llm.common import discard, materialize
+from heddle.llm.components import classes
 
 BANDS, ROWS = 40, 8
-BLOCK = 400_000  # shingles in a block of a family
+SIGMAS = 6
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _random = np.random.default_rng(20240229)
@@ -85,8 +89,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of the set's universal hash minima."""
+def signed(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One 64-bit key for each band of the set's universal hash minima, and a byte of each minimum."""
     least = np.empty(BANDS * ROWS, np.uint64)
     for i in range(0, len(least), 16):
         m = np.full(16, np.uint64(2**64 - 1))
@@ -96,132 +100,105 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
     for i in range(ROWS):
         h = mix(h + least.reshape(BANDS, ROWS)[:, i])
-    return h
+    return h, (mix(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def named(s: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return np.array([mix(s).sum(dtype=np.uint64), mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, hi, lo (a 128-bit name of the set) and bands for each row."""
+    """id, version (hash of the text), n, name, bands and sketch for each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, hi, lo, bands = [], [], [], []
-            for t in b.column(1):
+            n, names, bands, sketches = [], [], [], []
+            for t in b.column(2):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
-                hi.append(mix(s).sum(dtype=np.uint64))
-                lo.append(mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                bands.append(band_keys(s).view(np.int64) if len(s) else None)
-            as64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), as64(hi), as64(lo), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "hi", "lo", "bands"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n bigint, hi bigint, lo bigint, bands array<bigint>")
-
-
-def families(reps: DataFrame) -> DataFrame:
-    """rep, family for classes that share a band with another class."""
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("m")).where("m > 1").drop("m")
-    star = keyed.join(shared, "key").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    return components(star, "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
-
-
-class Forest:
-    """Union-find over positions, for a spanning forest inside one unit of work."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs (one of `left`, one of `right`) with 100 |a & b| >= percent |a | b|."""
-    n = np.array([len(s) for s in sets], np.int64)
-    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    count = np.diff(np.concatenate([start, [len(every)]]))
-    keep = np.repeat(count > 1, count)
-    col = np.repeat(np.cumsum(count > 1) - 1, count)[keep]
-    row = owner[keep]
-    width = int(col[-1]) + 1 if len(col) else 0
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(64, min(4096, 16_000_000 // max(1, len(sets))))
-    for c in range(0, width, step):
-        a, z = np.searchsorted(col, [c, c + step])
-        x = np.zeros((len(sets), step), np.float32)
-        x[row[a:z], col[a:z] - c] = 1
-        both += x @ x.T
-    forest = Forest(len(sets))
-    least = (100 * both.astype(np.int64) >= percent * (n[:, None] + n[None, :] - both.astype(np.int64))) & (both > 0)
-    least &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
-    for i, j in zip(*np.nonzero(np.triu(least, 1))):
-        if forest.join(int(i), int(j)):
-            yield ids[int(i)], ids[int(j)]
-
-
-def verified(docs: DataFrame, member: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b: links between classes of one family, confirmed on full sets."""
-    sized = member.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
-    # Blocks of about BLOCK shingles and at most 1,500 sets, whatever the family's size.
-    sized = sized.select("family", F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("m") / 1500)).cast("int").alias("blocks"))
-    placed = member.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(member.select("rep"), "rep").dropDuplicates(["rep"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                names.append(named(s) if len(s) else None)
+                keys, sketch = signed(s) if len(s) else (None, None)
+                bands.append(None if keys is None else keys.view(np.int64))
+                sketches.append(sketch)
+            cols = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "version", "n", "name", "bands", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id bigint, version bigint, n bigint, name binary, bands array<bigint>, sketch binary")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """key, id: the classes (by name) of each band that holds several."""
+    keyed = sets.select(F.explode("bands").alias("key"), F.xxhash64("name").alias("code"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = materialize(keyed.join(shared, "key").select("key", "code"), "bands")
+    held = materialize(members.join(sets.select(F.xxhash64("name").alias("code"), F.col("name").alias("id")), "code").select("key", "id"), "held")
+    discard(members)
+    return held
+
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs whose sizes and signatures allow `percent` similarity."""
+    minima, share = BANDS * ROWS, percent / 100
+    least = minima * share - SIGMAS * (minima * share * (1 - share)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t.as_py(), size).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, minima) for k in (2, 3))
+                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    side = lambda k, s, m: sets.select(F.col("name").alias(k), F.col("sketch").alias(s), F.col("n").alias(m))
+    both = pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
+
+def verified(pairs: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs that their signatures allow and their full sets (id, shingles) confirm."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                z = np.concatenate((x.values.to_numpy(), y.values.to_numpy()))
+                z.sort()
+                both = int(np.count_nonzero(z[1:] == z[:-1]))
+                good.append(100 * both >= percent * (len(z) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        def done() -> pa.RecordBatch:
-            found = []
-            if len(rows) > 1:
-                block = np.array([r[1] for r in rows])
-                found = list(links([r[0] for r in rows], [r[2].view(np.uint64) for r in rows], block == now[1], block == now[2], percent))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+    side = lambda k, s: full.select(F.col("id").alias(k), F.col("shingles").alias(s))
+    both = alike(pairs, sets, percent).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
+
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
+    """id (the name), shingles of the texts whose hash is in `wanted` (version)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            family, i, j, rep, block = (b.column(k).to_pylist() for k in range(5))
-            for k in range(b.num_rows):
-                if (key := (family[k], i[k], j[k])) != now:
-                    if rows:
-                        yield done()
-                    now, rows = key, []
-                rows.append((rep[k], block[k], b.column(5)[k].values.to_numpy()))
-        if rows:
-            yield done()
-
-    work = units.join(texts.mapInArrow(sets, "rep bigint, shingles array<bigint>"), "rep")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = work.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
-    return work.select("family", "i", "j", "rep", "block", "shingles").mapInArrow(run, "a bigint, b bigint")
+            found = [s for t in b.column(0) if len(s := shingles(t.as_py(), size))]
+            yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "shingles"])
+
+    texts = docs.select(F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).join(wanted, "version", "left_semi")
+    texts = texts.groupBy("version").agg(F.first("text").alias("text"))
+    return texts.select("text").mapInArrow(run, "id binary, shingles array<bigint>").dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, kept for each id of `docs`; kept is the least id of a component."""
-    sig = materialize(signatures(docs, size, id_col, text_col).dropDuplicates(["id"]), "signatures")
-    some = sig.where("n > 0")
-    reps = some.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = materialize(reps.join(some.select(F.col("id").alias("rep"), "bands"), "rep"), "classes")
-    member = materialize(families(reps).join(reps.select("rep", "n"), "rep"), "members")
-    found = components(verified(docs, member, size, percent, id_col, text_col), "links")
-    top = reps.select("hi", "lo", "n", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    top = top.select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("id", "n", "hi", "lo").join(top, ["hi", "lo", "n"], "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
+    """id_col, n_shingles, component_id, kept, version (xxhash64 of the text); kept is the least id of a component."""
+    sig = materialize(signatures(docs, size, id_col, text_col), "signatures")
+    sets = sig.where("n > 0").groupBy("name").agg(*(F.first(c).alias(c) for c in ("n", "version", "bands", "sketch")), F.min("id").alias("least"))
+    sets = materialize(sets, "sets")
+    held = candidates(sets)
+    wanted = sets.join(held.select(F.col("id").alias("name")).distinct(), "name", "left_semi").select("version")
+    full = materialize(full_sets(docs, wanted, size, text_col), "full")
+    tokens = lambda rows: rows.join(full, "id").select("id", "comp", F.explode("shingles").alias("t"))
+    found = classes(held, lambda pairs: verified(pairs, sets, full, percent), tokens, percent)
+    placed = sets.select("name", "least").join(found.select(F.col("node").alias("name"), "component"), "name", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "name"))
+    top = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = placed.join(top, "component").select("name", "component_id")
+    rows = sig.select("id", "version", "n", "name").distinct().join(placed, "name", "left")
+    # Without words a row is its own component, and so is the first of a component without ids.
+    out = rows.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "version")
+    out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "version")

@@ -19,6 +19,7 @@ frequent passage in very many different members makes no pairs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +67,9 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     else:
         raise RuntimeError("components did not converge")
     hung = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return hung.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out = hung.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out.stored_at = edges.stored_at
+    return out
 
 
 ROUNDS, FEW = 3, 64
@@ -118,16 +121,22 @@ def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], tokens:
     `verified` keeps the true links of pairs (a, b); `tokens` gives the tokens (id, comp, t) of
     members (id, comp), of which two linked ones share `percent` of the union.
     """
-    now, links = held.withColumn("comp", F.col("id")), None
+    now, links, old = held.withColumn("comp", F.col("id")), [], []
     for turn in range(ROUNDS):
-        new = materialize(verified(star(now, turn)), "links")
-        links = new if links is None else links.unionByName(new)
-        found = components(links, "stars")
+        links.append(materialize(verified(star(now, turn)), "links"))
+        found = components(reduce(DataFrame.unionByName, links), "stars")
         now = materialize(mixed(with_component(now.select("key", "id"), found)), "mixed")
+        discard(*old)
+        old = [found, now]
         if now.isEmpty():
+            discard(now, *links)
             return found
     pairs = outside(now.where(F.col("m") <= FEW), "key")
     many = now.where(F.col("m") > FEW).select("id", "comp").distinct()
     if not many.isEmpty():
-        pairs = pairs.unionByName(outside(materialize(rare(tokens(many), percent), "rare"), "t"))
-    return components(links.unionByName(verified(pairs.distinct())), "classes")
+        old.append(materialize(rare(tokens(many), percent), "rare"))
+        pairs = pairs.unionByName(outside(old[-1], "t"))
+    links.append(materialize(verified(pairs.distinct()), "links"))
+    found = components(reduce(DataFrame.unionByName, links), "classes")
+    discard(*old, *links)
+    return found

@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     full = materialize(full_sets(docs, wanted, size, text_col), "full")
     tokens = lambda rows: rows.join(full, "id").select("id", "comp", F.explode("shingles").alias("t"))
     found = classes(held, lambda pairs: verified(pairs, sets, full, percent), tokens, percent)
+    discard(held, full)
     placed = sets.select("name", "least").join(found.select(F.col("node").alias("name"), "component"), "name", "left")
     placed = placed.withColumn("component", F.coalesce("component", "name"))
     top = placed.groupBy("component").agg(F.min("least").alias("component_id"))

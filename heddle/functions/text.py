@@ -9,9 +9,9 @@ CJK = r"[一-鿿]"
 
 
 def terms(text: Column | str, least: int = 1) -> Column:
-    """Lower-case runs of ASCII letters, digits and underscore, at least `least` long."""
+    """Lower-case runs of letters and digits of any script and underscores, at least `least` long."""
     size = "+" if least == 1 else f"{{{least},}}"
-    return F.regexp_extract_all(F.lower(text), F.lit(f"[a-z0-9_]{size}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}_]{size}"), F.lit(0))
 
 
 def identifier_parts(name: Column | str, stop: tuple[str, ...] = ()) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from heddle.functions.text import terms
 from heddle.sources.tables import table
 
-PRELUDE = """
+NAME_TERMS = 6
+
+PRELUDE = r"""
 node AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand || '/' || p_type AS path, p_size % 2 = 1 AS is_definition, p_size FROM part),
 obs AS (SELECT l_orderkey AS tu, l_linenumber AS ln, min(l_partkey) AS p, max(l_returnflag) AS rf FROM lineitem GROUP BY 1, 2),
 nexts AS (SELECT tu, ln, p, rf, lead(p) OVER (PARTITION BY tu ORDER BY ln) AS q FROM obs),
@@ -19,16 +21,19 @@ edge_obs AS (SELECT tu, p AS src, q AS dst, CASE rf WHEN 'R' THEN 'candidate' EL
 edge AS (SELECT src, dst, confidence, count(DISTINCT tu) AS n_obs FROM edge_obs GROUP BY 1, 2, 3),
 certain AS (SELECT DISTINCT src, dst FROM edge_obs WHERE confidence = 'certain'),
 chunk AS (SELECT d.doc_id AS rowid, d.text, d.source, d.lang, CASE WHEN l.quality = 1 THEN 'A' WHEN l.quality = 0 THEN 'B' ELSE 'C' END AS level, coalesce(l.toxic, 0) = 0 AS visible FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-token AS (SELECT rowid, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM chunk WHERE visible),
-posting AS (SELECT rowid, term, count(*) AS tf FROM token GROUP BY 1, 2),
+token AS (SELECT rowid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM chunk WHERE visible),
+posting AS MATERIALIZED (SELECT rowid, term, count(*) AS tf FROM token GROUP BY 1, 2),
 doclen AS (SELECT rowid, sum(tf) AS dl FROM posting GROUP BY 1),
 question AS (SELECT item_id AS qid, text FROM benchmark),
-qterm AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')[1:12]) AS term FROM question),
+qterm AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')[1:12]) AS term FROM question),
 df AS (SELECT term, count(*) AS n FROM posting GROUP BY 1),
 corpus AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM doclen),
-bm25_all AS (SELECT q.qid, p.rowid, round(sum(greatest(ln((c.n_docs - d.n + 0.5) / (d.n + 0.5)), 1e-6) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / c.avgdl))), 6) AS score
+bm25_all AS MATERIALIZED (SELECT q.qid, p.rowid, round(sum(greatest(ln((c.n_docs - d.n + 0.5) / (d.n + 0.5)), 1e-6) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / c.avgdl))), 6) AS score
   FROM qterm q JOIN posting p ON q.term = p.term JOIN df d ON d.term = p.term JOIN doclen l ON l.rowid = p.rowid, corpus c GROUP BY 1, 2),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM bm25_all) WHERE rank <= 30),
+symbol AS (SELECT rowid, array_to_string(t[1:6], '_') AS name, concat_ws('/', source, lang) AS path, lower(source) AS file FROM (SELECT rowid, source, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM chunk WHERE visible) WHERE len(t) > 0),
+qname AS (SELECT item_id AS qid, array_to_string(t[1:6], '_') AS full_name, array_to_string(t[1:2], '_') || '_' AS start FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM benchmark) WHERE len(t) >= 6),
+links AS (SELECT src, dst FROM certain WHERE src IN (SELECT rowid FROM chunk WHERE visible) AND dst IN (SELECT rowid FROM chunk WHERE visible)),
 trial AS (SELECT c_custkey AS task, c_mktsegment AS mechanism, n_regionkey AS repository, o_orderstatus AS arm, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 run_event AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal, event_type AS tool, value, ts FROM events)
 """
@@ -80,6 +85,32 @@ def postings(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("rowid", "term").agg(F.count("*").alias("tf"))
 
 
+def matched(s: SparkSession, d: str, query: DataFrame) -> DataFrame:
+    """rowid, term, tf, dl of visible chunks, only for terms that a question holds: one pass over the texts."""
+    rows = chunk(s, d).where("visible").select("rowid", terms("text").alias("all")).select("rowid", F.size("all").alias("dl"), F.explode("all").alias("term"))
+    wanted = query.select("term").distinct()
+    return rows.join(wanted, "term", "left_semi").groupBy("rowid", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def corpus(s: SparkSession, d: str) -> DataFrame:
+    """One row: n_docs and avgdl of the visible chunks that hold a term."""
+    sizes = chunk(s, d).where("visible").select(F.size(terms("text")).alias("dl")).where("dl > 0")
+    return sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def symbol(s: SparkSession, d: str) -> DataFrame:
+    """rowid, name, path: a visible chunk is named by its first NAME_TERMS terms and stands in source/lang."""
+    rows = chunk(s, d).where("visible").select("rowid", F.slice(terms("text"), 1, NAME_TERMS).alias("t"), F.concat_ws("/", "source", "lang").alias("path"), "source")
+    return rows.where("size(t) > 0").select("rowid", F.array_join("t", "_").alias("name"), "path", F.lower("source").alias("file"))
+
+
+def links(s: SparkSession, d: str) -> DataFrame:
+    """src, dst: confirmed edges between visible chunks (a chunk is the node of its number)."""
+    ids = chunk(s, d).where("visible").select("rowid")
+    rows = certain(s, d).join(ids.withColumnRenamed("rowid", "src"), "src", "left_semi")
+    return rows.join(ids.withColumnRenamed("rowid", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 def question(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 

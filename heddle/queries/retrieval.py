@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import terms, tokens_by_bytes, tokens_by_script
@@ -15,35 +15,115 @@ from heddle.registry import query
 from heddle.sources.tables import table
 
 SYMBOL = "[a-z]+_[a-z]+|[a-z][A-Z]|::"
-CARD = (
-    "held AS (SELECT q.qid, p.rowid FROM qterm q JOIN posting p ON p.term = q.term JOIN chunk c ON c.rowid = p.rowid AND c.level = 'A' GROUP BY 1, 2 HAVING count(*) >= 2)",
-    "card AS (SELECT * FROM (SELECT b.qid, b.rowid, b.score, row_number() OVER (PARTITION BY b.qid ORDER BY b.score DESC, b.rowid) AS rank FROM bm25_all b JOIN held h ON h.qid = b.qid AND h.rowid = b.rowid) WHERE rank <= 10)",
+PAGE, CODE_SLOTS, CARD_RANK = 10, 2, 3
+LANES = (
+    "scores AS MATERIALIZED (SELECT b.qid, b.rowid, b.score, h.hits FROM bm25_all b JOIN (SELECT q.qid, p.rowid, count(*) AS hits FROM qterm q JOIN posting p ON p.term = q.term GROUP BY 1, 2) h ON h.qid = b.qid AND h.rowid = b.rowid)",
+    "card AS (SELECT * FROM (SELECT s.qid, s.rowid, s.score, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.rowid) AS rank FROM scores s JOIN chunk c ON c.rowid = s.rowid AND c.level = 'A' WHERE s.hits >= 2) WHERE rank <= 10)",
+    "part AS (SELECT rowid, unnest(list_distinct(string_split(name, '_'))) AS term FROM symbol)",
+    "tiers AS (SELECT qid, rowid, 1 AS tier, 0 AS worth FROM qname JOIN symbol ON name = full_name UNION ALL SELECT qid, rowid, 2, 0 FROM qname JOIN symbol ON regexp_extract(name, '^[^_]+_[^_]+_') = start AND name <> full_name UNION ALL SELECT qid, rowid, 3, 0 FROM qterm JOIN symbol ON term = file UNION ALL SELECT qid, rowid, 4, count(*) FROM qterm JOIN part USING (term) WHERE length(term) >= 2 GROUP BY 1, 2 HAVING count(*) >= 3)",
+    "symbols AS MATERIALIZED (SELECT qid, rowid, tier, row_number() OVER (PARTITION BY qid ORDER BY tier, worth DESC, rowid) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, rowid ORDER BY tier, worth DESC) AS r FROM tiers) WHERE r = 1 QUALIFY rank <= 30)",
+    "vpart AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)",
+    "vmean AS (SELECT label, k, avg(x) AS m FROM vpart GROUP BY 1, 2)",
+    "vbest AS (SELECT m.label, p.vec_id AS rowid, round(sum(p.x * m.m), 6) AS score FROM vpart p JOIN vmean m ON m.k = p.k WHERE p.vec_id IN (SELECT rowid FROM chunk WHERE visible) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY m.label ORDER BY score DESC, p.vec_id) <= 30)",
+    "vector AS (SELECT qid, rowid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM question JOIN vbest ON label = qid % 10 WHERE qid IN (SELECT qid FROM bm25 UNION SELECT qid FROM symbols))",
 )
 FUSED = (
-    *CARD,
-    "fused AS (SELECT qid, rowid, round(sum(part), 6) AS score FROM (SELECT qid, rowid, 1.0::DOUBLE / (60 + rank) AS part FROM bm25 UNION ALL SELECT qid, rowid, 0.5::DOUBLE / (60 + rank) FROM card) GROUP BY 1, 2)",
+    *LANES,
+    f"fused0 AS (SELECT qid, rowid, round(sum(part), 6) AS score FROM (SELECT qid, rowid, 1.0::DOUBLE / (60 + rank) AS part FROM bm25 UNION ALL SELECT qid, rowid, 1.0::DOUBLE / (60 + rank) FROM card UNION ALL SELECT qid, rowid, 0.35::DOUBLE / (60 + rank) FROM vector UNION ALL SELECT s.qid, s.rowid, CASE WHEN regexp_matches(q.text, '{SYMBOL}') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (60 + s.rank) FROM symbols s JOIN question q ON q.qid = s.qid) GROUP BY 1, 2)",
+    "fused AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM fused0)",
 )
-FINAL = (
-    *FUSED,
-    "normed AS (SELECT *, (score - min(score) OVER (PARTITION BY qid)) / CASE WHEN max(score) OVER (PARTITION BY qid) = min(score) OVER (PARTITION BY qid) THEN 1.0 ELSE max(score) OVER (PARTITION BY qid) - min(score) OVER (PARTITION BY qid) END AS fusion FROM fused)",
+HEADS = (
+    "around AS MATERIALIZED (SELECT src, dst FROM links UNION SELECT dst, src FROM links)",
+    "hop1 AS MATERIALIZED (SELECT f.qid, b.dst AS rowid, max(f.score) AS carried FROM fused f JOIN around b ON b.src = f.rowid WHERE f.rank <= 8 GROUP BY 1, 2)",
+    "hop2 AS (SELECT h.qid, b.dst AS rowid, max(h.carried) AS carried FROM hop1 h JOIN around b ON b.src = h.rowid GROUP BY 1, 2)",
+    "heads AS MATERIALIZED (SELECT qid, rowid, hop, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, rowid ORDER BY score DESC, hop) AS r FROM (SELECT qid, rowid, 1 AS hop, round(carried * 0.75, 10) AS score FROM hop1 UNION ALL SELECT qid, rowid, 2, round(carried * 0.5625, 10) FROM hop2)) h WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM fused f WHERE f.qid = h.qid AND f.rowid = h.rowid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) <= 24)",
+)
+RANKED = (
+    *FUSED, *HEADS,
+    "pool AS (SELECT qid, rowid, score, 0 AS hop FROM fused UNION ALL SELECT qid, rowid, score, hop FROM heads)",
     "wanted AS (SELECT qid, count(*) AS n_terms FROM qterm GROUP BY 1)",
-    "have AS (SELECT q.qid, p.rowid, count(*) AS hits FROM qterm q JOIN posting p ON p.term = q.term GROUP BY 1, 2)",
-    "scored AS (SELECT f.qid, f.rowid, c.level, round(0.5 * f.fusion + 0.3 * (coalesce(h.hits, 0) / w.n_terms) + 0.2 * CASE c.level WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.6 ELSE 0.2 END - 0.05 * ln(1 + length(c.text)) / ln(20), 6) AS final FROM normed f JOIN wanted w ON w.qid = f.qid LEFT JOIN have h ON h.qid = f.qid AND h.rowid = f.rowid JOIN chunk c ON c.rowid = f.rowid)",
-    "final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rowid) AS rank FROM scored)",
+    "fan AS (SELECT dst AS rowid, count(*) AS fan_in FROM links GROUP BY 1)",
+    "features AS MATERIALIZED (SELECT p.qid, p.rowid, c.level, (p.score - min(p.score) OVER w) / CASE WHEN max(p.score) OVER w = min(p.score) OVER w THEN 1.0 ELSE max(p.score) OVER w - min(p.score) OVER w END AS fusion, "
+    "CASE WHEN s.tier = 1 THEN 1.0 ELSE 0.0 END AS exact_symbol, CASE WHEN s.tier = 2 THEN 1.0 ELSE 0.0 END AS prefix_symbol, CASE WHEN n.is_definition THEN 1.0 ELSE 0.0 END AS is_definition, coalesce(h.hits, 0) / t.n_terms AS term_cover, "
+    "CASE WHEN EXISTS (SELECT 1 FROM qterm q WHERE q.qid = p.qid AND q.term = lower(c.source)) THEN 1.0 ELSE 0.0 END AS file_match, CASE c.level WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.7 ELSE 0.3 END AS evidence, "
+    "ln(1 + coalesce(f.fan_in, 0)) / ln(20.0) AS importance, 1.0 / (1 + p.hop) AS hop_decay, greatest(0.0, least(1.0, (length(c.text) / 4 - 600) / 1200)) AS len_penalty "
+    "FROM pool p JOIN chunk c ON c.rowid = p.rowid JOIN wanted t ON t.qid = p.qid LEFT JOIN symbols s ON s.qid = p.qid AND s.rowid = p.rowid LEFT JOIN node n ON n.id = p.rowid LEFT JOIN fan f ON f.rowid = p.rowid LEFT JOIN scores h ON h.qid = p.qid AND h.rowid = p.rowid WINDOW w AS (PARTITION BY p.qid))",
+    "reranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, rowid) AS rank FROM (SELECT *, round(0.0 + " + " + ".join(f"({w}::DOUBLE) * {k}" for k, w in R.WEIGHTS.items()) + ", 6) AS final FROM features))",
+)
+# A slot moves a row to the page's end: of two wanted rows the second stands last, the first before it.
+FINAL = (
+    *RANKED,
+    "code AS (SELECT r.qid, r.rowid, r.rank, row_number() OVER (PARTITION BY r.qid ORDER BY b.rank) AS turn FROM reranked r JOIN bm25 b ON b.qid = r.qid AND b.rowid = r.rowid WHERE r.level = 'A' AND EXISTS (SELECT 1 FROM part p JOIN qterm q ON q.term = p.term WHERE p.rowid = r.rowid AND q.qid = r.qid AND length(p.term) >= 2) QUALIFY turn <= 2)",
+    "counted AS (SELECT c.*, max(turn) OVER (PARTITION BY qid) AS m, coalesce((SELECT count(*) FROM code o WHERE o.qid = c.qid AND o.turn > c.turn AND o.rank > 10), 0) AS pushed FROM code c)",
+    "coded AS (SELECT r.* EXCLUDE rank, row_number() OVER (PARTITION BY r.qid ORDER BY CASE WHEN c.turn IS NOT NULL AND c.rank + c.pushed > 10 THEN 10 - (c.m - c.turn) - 0.5 ELSE r.rank END, coalesce(c.turn, 0)) AS rank FROM reranked r LEFT JOIN counted c ON c.qid = r.qid AND c.rowid = r.rowid)",
+    "best AS (SELECT qid, rowid FROM card WHERE rank <= 3 AND (qid, rowid) IN (SELECT (qid, rowid) FROM coded) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1)",
+    "final AS MATERIALIZED (SELECT r.* EXCLUDE rank, row_number() OVER (PARTITION BY r.qid ORDER BY CASE WHEN b.rowid IS NOT NULL AND r.rank > 10 THEN 9.5 ELSE r.rank END, CASE WHEN b.rowid IS NULL THEN 0 ELSE 1 END) AS rank FROM coded r LEFT JOIN best b ON b.qid = r.qid AND b.rowid = r.rowid)",
 )
 NONSENSE = "asked AS (SELECT qid FROM question UNION ALL SELECT -1)"
 
 
-def lanes(s: SparkSession, d: str):
-    """Postings, query terms, and the two text lanes of all questions."""
-    postings, terms_ = facts.postings(s, d), R.query_terms(facts.question(s, d))
-    cards = facts.chunk(s, d).where("level = 'A'")
-    return postings, terms_, R.bm25(postings, terms_), R.card_lane(postings, terms_, cards)
+class Batch:
+    """The lanes of all questions. What several lanes read, postings of query terms and their scores, is computed once."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.s, self.d = s, d
+        self.questions = facts.question(s, d)
+        self.terms = R.query_terms(self.questions)
+        self.chunks = facts.chunk(s, d).where("visible")
+        matched = facts.matched(s, d, self.terms)
+        self.scores = R.bm25_scores(matched, facts.corpus(s, d), self.terms).persist()
+        self.text = R.bm25(self.scores)
+        self.card = R.card_lane(self.scores, self.chunks.where("level = 'A'"))
+
+    def symbols(self) -> DataFrame:
+        t = F.slice(terms("text"), 1, facts.NAME_TERMS)
+        names = self.questions.select("qid", t.alias("t")).where(F.size("t") >= facts.NAME_TERMS)
+        names = names.select("qid", F.array_join("t", "_").alias("full_name"), F.concat(F.array_join(F.slice("t", 1, 2), "_"), F.lit("_")).alias("start"))
+        return R.symbol_lane(facts.symbol(self.s, self.d), names, self.terms)
+
+    def vectors(self, symbols: DataFrame) -> DataFrame:
+        """Nearest visible vectors to a question's label mean; empty for a question without a lexical hit."""
+        rows = table(self.s, self.d, "embeddings")
+        shown = rows.join(self.chunks.select(F.col("rowid").alias("vec_id")), "vec_id", "left_semi")
+        best = R.vector_lane(shown, R.centroids(rows).select(F.col("label").alias("qid"), F.col("mean").alias("v")))
+        asked = self.questions.select("qid", (F.col("qid") % 10).cast("int").alias("label"))
+        hit = self.text.select("qid").unionByName(symbols.select("qid")).distinct()
+        return asked.join(hit, "qid", "left_semi").join(best.withColumnRenamed("qid", "label"), "label").select("qid", F.col("vec_id").alias("rowid"), "rank")
+
+    def fused(self) -> tuple[DataFrame, DataFrame]:
+        """(symbol lane, fused lanes)."""
+        symbols = self.symbols().persist()
+        mode = self.questions.select("qid", F.when(F.col("text").rlike(SYMBOL), 1.5).otherwise(1.0).alias("w"))
+        return symbols, R.fuse([(self.text, 1.0), (self.card, 1.0), (self.vectors(symbols), 0.35), (symbols.join(mode, "qid"), F.col("w"))])
+
+    def ranked(self) -> DataFrame:
+        """Fused rows and what they reach, with features, in order of the weighted sum."""
+        symbols, fused = self.fused()
+        fused = fused.persist()
+        links = facts.links(self.s, self.d)
+        pool = fused.select("qid", "rowid", "score", F.lit(0).alias("hop")).unionByName(R.expand(fused, links).select("qid", "rowid", "score", "hop"))
+        meta = self.chunks.select("rowid", "level", F.length("text").alias("chars"), F.lower("source").alias("term"))
+        fan = links.groupBy(F.col("dst").alias("rowid")).agg(F.count("*").alias("fan_in"))
+        kind = facts.node(self.s, self.d).select(F.col("id").alias("rowid"), "is_definition")
+        rows = pool.join(meta, "rowid").join(self.terms.groupBy("qid").agg(F.count("*").alias("n_terms")), "qid")
+        rows = rows.join(symbols.select("qid", "rowid", "tier"), ["qid", "rowid"], "left").join(kind, "rowid", "left").join(fan, "rowid", "left")
+        rows = rows.join(self.terms.withColumn("named", F.lit(True)), ["qid", "term"], "left").withColumn("file_hit", F.col("named").isNotNull())
+        return R.rerank(rows.join(self.scores.select("qid", "rowid", "hits"), ["qid", "rowid"], "left"))
+
+    def final(self) -> DataFrame:
+        """The ranking with its reserved slots: two lexical code hits that share a name part, and one leading card."""
+        ranked = self.ranked().select("qid", "rowid", "level", "final", "rank").persist()
+        part = facts.symbol(self.s, self.d).select("rowid", F.explode(F.array_distinct(F.split("name", "_"))).alias("term")).where("length(term) >= 2")
+        shared = self.terms.join(part, "term").select("qid", "rowid").distinct()
+        code = ranked.where("level = 'A'").select("qid", "rowid").join(self.text.select("qid", "rowid", F.col("rank").alias("at")), ["qid", "rowid"])
+        code = K.top(code.join(shared, ["qid", "rowid"], "left_semi"), "qid", ["at"], CODE_SLOTS, name="turn").select("qid", "rowid", "turn")
+        coded = R.reserve(ranked, code, PAGE)
+        card = self.card.where(F.col("rank") <= CARD_RANK).select("qid", "rowid", F.col("rank").alias("at")).join(ranked.select("qid", "rowid"), ["qid", "rowid"], "left_semi")
+        return R.reserve(coded, K.top(card, "qid", ["at"], 1, name="turn").select("qid", "rowid", "turn"), PAGE)
 
 
 def final(s: SparkSession, d: str) -> DataFrame:
-    postings, terms_, text, card = lanes(s, d)
-    return R.rerank(R.fuse([(text, 1.0), (card, 0.5)]).drop("rank"), postings, terms_, facts.chunk(s, d))
+    return Batch(s, d).final()
 
 
 @query("query_route", oracle(f"SELECT qid, CASE WHEN regexp_matches(text, '{SYMBOL}') THEN 'symbol' ELSE 'text' END AS route FROM question"))
@@ -58,23 +138,51 @@ def query_terms(s, d):
 
 @query("bm25_top30", oracle("SELECT qid, rowid, score, rank FROM bm25"))
 def bm25_top30(s, d):
-    return lanes(s, d)[2]
+    return Batch(s, d).text
 
 
-@query("card_lane", oracle("SELECT qid, rowid, score, rank FROM card", *CARD))
+@query("card_lane", oracle("SELECT qid, rowid, score, rank FROM card", *LANES))
 def card_lane(s, d):
-    return lanes(s, d)[3]
+    return Batch(s, d).card
+
+
+@query("symbol_lane", oracle("SELECT qid, rowid, tier, rank FROM symbols", *LANES))
+def symbol_lane(s, d):
+    """Four tiers of symbols, each symbol once at its best tier."""
+    return Batch(s, d).symbols()
+
+
+@query("vector_lane_guarded", oracle("SELECT qid, rowid, rank FROM vector", *LANES))
+def vector_lane_guarded(s, d):
+    batch = Batch(s, d)
+    return batch.vectors(batch.symbols())
 
 
-@query("rrf_fusion", oracle("SELECT qid, rowid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM fused", *FUSED))
+@query("rrf_fusion", oracle("SELECT qid, rowid, score, rank FROM fused", *FUSED))
 def rrf_fusion(s, d):
-    _, _, text, card = lanes(s, d)
-    return R.fuse([(text, 1.0), (card, 0.5)])
+    return Batch(s, d).fused()[1]
 
 
-@query("feature_rerank", oracle("SELECT qid, rowid, level, final, rank FROM final", *FINAL))
+@query("graph_heads", oracle("SELECT qid, rowid, hop, score FROM heads", *FUSED, *HEADS))
+def graph_heads(s, d):
+    """What the eight best fused rows reach in two hops of either direction."""
+    return R.expand(Batch(s, d).fused()[1].persist(), facts.links(s, d))
+
+
+@query("feature_rerank", oracle("SELECT qid, rowid, level, final, rank FROM reranked", *RANKED))
 def feature_rerank(s, d):
-    return final(s, d)
+    return Batch(s, d).ranked().select("qid", "rowid", "level", "final", "rank")
+
+
+@query("rerank_features", oracle("SELECT qid, rowid, " + ", ".join(f"round({k}, 6) AS {k}" for k in R.WEIGHTS) + " FROM features", *RANKED))
+def rerank_features(s, d):
+    """The ten features of every candidate."""
+    return Batch(s, d).ranked().select("qid", "rowid", *(F.round(k, 6).alias(k) for k in R.WEIGHTS))
+
+
+@query("slot_reservation", oracle("SELECT qid, rowid, rank FROM final", *FINAL))
+def slot_reservation(s, d):
+    return final(s, d).select("qid", "rowid", "rank")
 
 
 @query("evidence_tags", oracle("SELECT qid, rowid, level || row_number() OVER (PARTITION BY qid, level ORDER BY rank) AS tag FROM final", *FINAL))
@@ -92,10 +200,9 @@ def refusal_decision(s, d):
 @query("hybrid_search", oracle(
     "SELECT f.qid, f.rowid, f.rank, f.final, f.level || row_number() OVER (PARTITION BY f.qid, f.level ORDER BY f.rank) AS tag, coalesce(g.n, 0) = 0 AS refused FROM final f LEFT JOIN (SELECT qid, count(*) AS n FROM final WHERE level IN ('A', 'B') GROUP BY 1) g ON g.qid = f.qid", *FINAL))
 def hybrid_search(s, d):
-    """The flagship: lanes, fusion, rerank, tags and the decision for all questions."""
-    ranked = R.tag(final(s, d))
-    decided = R.decide(facts.question(s, d), ranked).select("qid", "refused")
-    return ranked.join(decided, "qid").select("qid", "rowid", "rank", "final", "tag", "refused")
+    """The flagship: four lanes, fusion, expansion, rerank, slots, tags and the decision for all questions."""
+    good = F.max(F.col("level").isin("A", "B")).over(Window.partitionBy("qid"))
+    return R.tag(final(s, d)).withColumn("refused", ~good).select("qid", "rowid", "rank", "final", "tag", "refused")
 
 
 @query("heads_budget_prefix", oracle(
@@ -165,8 +272,6 @@ def context_from_newest(s, d):
     "SELECT host, page_id, page FROM (SELECT host, page_id, ((sum(strlen(html)) OVER (PARTITION BY host ORDER BY page_id) - strlen(html)) // 4000)::BIGINT AS page FROM (SELECT page_id, html, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages))"))
 def outline_pages(s, d):
     """Pages of a host in order, cut into outline pages by 4000 bytes before each."""
-    from pyspark.sql import Window
-
     rows = table(s, d, "pages").select("page_id", F.octet_length("html").alias("size"), F.regexp_extract("url", "://([^/]+)", 1).alias("host"))
     before = F.sum("size").over(Window.partitionBy("host").orderBy("page_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return rows.select("host", "page_id", F.floor(before / 4000).cast("bigint").alias("page"))

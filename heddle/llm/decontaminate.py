@@ -15,8 +15,8 @@ white space runs as one space) is within MAX_EDITS of the item's length in edit
    p = 0.24, 0.99 at p = 0.28, for each of up to three places where the window may begin.
 4. Each candidate is verified by exact edit distance against the text there.
 
-Items of fewer than about 60 characters, which the lemma says nothing about, are compared
-everywhere; those under SHORT by containment. Items go to the tasks in blocks of at most
+Items so short that the lemma says nothing about them (fewer than 20 characters) are compared
+everywhere, those under SHORT by containment. Items go to the tasks in blocks of at most
 ITEM_CHARS characters, one after the other, each block's result written before the next, so
 nothing broadcast or held by the driver grows with the benchmark. Defined cases: null, empty
 and blank texts match nothing; items without text or id are left out; of equal matches the
@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import materialize
 
-Q, SHORT = 6, 8
+Q, SHORT = 5, 8
 MAX_EDITS = 0.15
 WALKS, SAMPLED, REPEATS = 8, 3, 240
 ITEM_CHARS, BUCKETS, BATCH = 4_000_000, 20, 256
-CHUNK = 1 << 20  # characters of a document that are looked at together
+CHUNK = 1 << 15  # characters of a batch that are looked at together
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,11 +143,15 @@ class Items:
         grams = [buckets(codes(self.items[k][1])) for k in wide]
         every = np.concatenate(grams)
         order = np.argsort(every, kind="stable")
-        self.owner = np.repeat(wide, [len(g) for g in grams])[order]
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=1 << BUCKETS))])
+        owner = np.repeat(wide, [len(g) for g in grams])[order]
+        place = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=1 << BUCKETS))]).astype(np.int32)
         self.span = int(n.max() + self.slack.max()) + 1
         self.width = int(2 * self.slack.max() + 1).bit_length()  # bits of a diagonal in one cell
+        self.cols = ((CHUNK + 3 * self.span) >> self.width) + 3
+        # A gram at `at` of the text adds to its item's diagonal at + offset, all diagonals of all items on one line.
+        self.offset = owner.astype(np.int64) * (self.cols << self.width) - place + self.span
+        self.place = place.astype(np.int32)
         self.keys: dict[int, np.ndarray] = {}
         for b in range(0, self.wide, BATCH):
             part = wide[b : b + BATCH]
@@ -157,27 +161,24 @@ class Items:
     def windows(self, c: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
         """(item, least, greatest start, likely starts) of the windows with enough grams of an item on near diagonals."""
         found = []
-        for base in range(0, max(1, len(c) - Q + 1), CHUNK):
-            found += [(k, base + lo, base + hi, [max(0, base + s) for s in starts]) for k, lo, hi, starts in self._windows(c[base : base + CHUNK + 2 * self.span])]
+        g = buckets(c) if len(c) >= Q else np.zeros(0, np.int64)
+        for base in range(0, len(g), CHUNK):
+            found += [(k, base + lo, base + hi, [base + s for s in starts]) for k, lo, hi, starts in self._windows(g[base : base + CHUNK + 2 * self.span])]
         return found
 
-    def _windows(self, c: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
-        if len(c) < Q:
-            return []
-        g = buckets(c)
+    def _windows(self, g: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
         lo = self.first[g]
         times = self.first[g + 1] - lo
         where = np.flatnonzero(times)
-        lo, times = lo[where], times[where]
-        ends = np.cumsum(times)
         if not len(where):
             return []
-        at = np.repeat(lo - ends + times, times) + np.arange(ends[-1])
-        item, line = self.owner[at], np.repeat(where + self.span, times) - self.place[at]
+        lo, times = lo[where], times[where]
+        ends = np.cumsum(times)
+        at = np.repeat(lo - ends + times, times) + np.arange(ends[-1], dtype=np.int32)
+        line = self.offset[at] + np.repeat(where, times)
+        cell = line >> self.width
         # Two neighbouring cells cover the diagonals of any window; only full ones are counted exactly.
-        cols = ((len(c) + self.span) >> self.width) + 2
-        cell = item * cols + (line >> self.width)
-        seen = np.bincount(cell, minlength=len(self.items) * cols).reshape(-1, cols)
+        seen = np.bincount(cell, minlength=len(self.items) * self.cols).reshape(-1, self.cols)
         full = seen[:, :-1] + seen[:, 1:] >= np.maximum(1, self.least)[:, None]
         if not full.any():
             return []
@@ -185,10 +186,17 @@ class Items:
         near[:, :-1] = full
         near[:, 1:] |= full
         held = np.flatnonzero(near.ravel()[cell])
-        room = (cols + 2) << self.width
-        key, place = item[held] * room + line[held], self.place[at[held]]
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
+        # An item's gram counts once, however often the text repeats it.
+        once = np.unique(cell[held] * self.span + self.place[at[held]]) // self.span
+        seen = np.bincount(once, minlength=seen.size).reshape(seen.shape)
+        full = seen[:, :-1] + seen[:, 1:] >= np.maximum(1, self.least)[:, None]
+        near[:] = False
+        near[:, :-1] = full
+        near[:, 1:] |= full
+        held = held[near.ravel()[cell[held]]]
+        order = np.argsort(line[held], kind="stable")
+        key, place = line[held][order], self.place[at[held]][order]
+        room = self.cols << self.width
         item = key // room
         count = np.searchsorted(key, key + 2 * self.slack[item] + 1) - np.arange(len(key))
         found, last = [], -1
@@ -196,6 +204,8 @@ class Items:
             if key[x] <= last:
                 continue
             z = x + int(count[x])
+            if len(np.unique(place[x:z])) < self.least[item[x]]:
+                continue
             starts = key[x:z] - int(item[x]) * room - self.span
             values, times = np.unique(starts, return_counts=True)
             likely = {int(values[times.argmax()]), int(starts[place[x:z].argmin()]), int(np.median(starts))}
@@ -223,8 +233,14 @@ class Items:
         return out
 
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
-        """((row, item), (from, to)) of the windows with a key of the item."""
-        asked = [(r, s, w) for r, c in enumerate(texts) for w in self.windows(c) for s in w[3]]
+        """((row, item), (from, to)) of the windows with a key of the item. All texts of the batch are looked at as one."""
+        begin = np.cumsum([0, *(len(c) + 1 for c in texts)])
+        one = np.concatenate([x for c in texts for x in (c, np.zeros(1, np.uint32))]) if texts else np.zeros(0, np.uint32)
+        asked = []
+        for w in self.windows(one):
+            r = int(np.searchsorted(begin, (w[1] + w[2] + self.size[w[0]]) // 2, "right")) - 1
+            if 0 <= r < len(texts):
+                asked += [(r, max(0, s - int(begin[r])), w) for s in w[3]]
         asked.sort(key=lambda x: self.size[x[2][0]])
         done = set()
         for b in range(0, len(asked), BATCH):
@@ -233,7 +249,8 @@ class Items:
             for (r, _, (k, lo, hi, _)), row in zip(part, keys):
                 if (row == self.keys[k]).any() and (r, k, lo) not in done:
                     done.add((r, k, lo))
-                    yield (r, k), (max(0, lo - int(self.slack[k])), hi + int(self.size[k] + self.slack[k]))
+                    at = int(begin[r])
+                    yield (r, k), (max(0, lo - at - int(self.slack[k])), max(0, hi - at + int(self.size[k] + self.slack[k])))
 
 
 @lru_cache(maxsize=2)

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Patterns of secrets, and the roles a session may have.
+# Patterns of secrets, roles, public licences and the size limit of a session's messages.
 SECRETS = {
-    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
-    "key": r"(AKIA|sk_live_|ghp_)[A-Za-z0-9]+",
-    "password": r"(password|passwd|secret)[ ]*[:=]",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY",
+    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "key": r"\b(?:sk|rk|pk)_[A-Za-z0-9_-]{16,}\b",
+    "password": r"(?i)\b(?:password|secret|token)\s*[:=]\s*\S+",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
-ROLES = ("system", "user", "assistant")
+ROLES = ("user", "assistant", "developer", "reviewer", "tool")
+KNOWLEDGE_ROLES = ("symptom", "hypothesis", "dead_end", "evidence", "root_cause", "fix", "verification")
+PUBLIC_SOURCE = "public_synthetic"
+LICENSES = ("CC0-1.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0")
+REPRODUCIBLE = r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b|\b[A-Za-z][A-Za-z0-9_]+\s*\("
+VERIFIED = r"(?i)verify|reproduc|test|check"
 MOST_CHARS = 6000
 
 
@@ -22,17 +27,38 @@ def secret_kinds(text: str) -> Column:
     return F.array_join(F.array_compact(found), ",")
 
 
-def session_gate(messages: DataFrame) -> DataFrame:
-    """conv_id, checks and `eligible`: known roles, sizes, no secrets, both sides present, consecutive turns."""
-    any_of = lambda c: F.max(F.when(c, 1).otherwise(0)) == 1
-    rows = messages.groupBy("conv_id").agg(
-        any_of(F.col("role") == "user").alias("has_user"), any_of(F.col("role") == "assistant").alias("has_assistant"),
-        (~any_of(~F.col("role").isin(*ROLES))).alias("roles_known"), (~any_of(F.length("text") > MOST_CHARS)).alias("sizes_ok"),
-        (~any_of(secret_kinds("text") != "")).alias("no_secret"), (F.count("*") == F.max("turn") - F.min("turn") + 1).alias("consecutive"),
+def message_fault(role: Column, content: Column, knowledge_role: Column | None = None) -> Column:
+    """The first fault of a message, or null: its role, an empty or long content, an unknown knowledge role, a secret."""
+    secret = F.lit(False)
+    for p in SECRETS.values():
+        secret = secret | content.rlike(p)
+    fault = F.when(~F.coalesce(role.isin(*ROLES), F.lit(False)), "role").when(F.trim(F.coalesce(content, F.lit(""))) == "", "empty").when(F.length(content) > MOST_CHARS, "too_long")
+    if knowledge_role is not None:
+        fault = fault.when(knowledge_role.isNotNull() & ~knowledge_role.isin(*KNOWLEDGE_ROLES), "knowledge_role")
+    return fault.when(secret, "secret")
+
+
+def session_gate(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """session, seven checks, failed (their names), eligible.
+
+    `sessions`: session, source_type, license, revision; `messages`: session, role, text. What
+    can be decided for single messages is decided there, so no session's texts are gathered.
+    """
+    some = lambda c: F.coalesce(F.max(F.when(c, 1).otherwise(0)), F.lit(0)) == 1
+    user = F.col("role") == "user"
+    said = messages.groupBy("session").agg(
+        some(user & F.col("text").rlike(REPRODUCIBLE)).alias("reproducible_input"), some(F.col("text").rlike(VERIFIED)).alias("verification_signal"),
+        ((F.count("*") >= 2) & some(F.col("role").isin(*ROLES[1:]))).alias("message_structure"), (~some(secret_kinds("text") != "")).alias("sensitive_scan"),
+    )
+    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    revision = F.coalesce(F.col("revision"), F.lit(""))
+    rows = sessions.join(said, "session", "left").select(
+        "session", F.coalesce(F.col("source_type") == PUBLIC_SOURCE, F.lit(False)).alias("public_source"), F.coalesce(F.col("license").isin(*LICENSES), F.lit(False)).alias("public_license"),
+        ((revision != "unversioned") & (F.length(revision) >= 7)).alias("fixed_revision"), no("reproducible_input"), no("verification_signal"), no("message_structure"), no("sensitive_scan"),
     )
-    checks = ["has_user", "has_assistant", "roles_known", "sizes_ok", "no_secret", "consecutive"]
+    checks = rows.columns[1:]
     failed = F.array_join(F.array_compact(F.array(*(F.when(~F.col(c), F.lit(c)) for c in checks))), ",")
-    return rows.withColumn("failed", failed).select("conv_id", *checks, "failed", (F.col("failed") == "").alias("eligible"))
+    return rows.withColumn("failed", failed).withColumn("eligible", F.col("failed") == "")
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:

@@ -38,11 +38,34 @@ def impact_regression_hints(s, d):
     return facts.chunk(s, d).where("level = 'A'").join(anchors, "rowid", "left_semi").select("rowid", "source")
 
 
+# Sessions have no header in the tables: it is made of the session's number.
+HEADER = "header AS (SELECT DISTINCT conv_id AS session, CASE WHEN conv_id % 5 = 0 THEN 'private' ELSE 'public_synthetic' END AS source_type, CASE conv_id % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0' WHEN 2 THEN 'GPL-3.0' END AS license, CASE WHEN conv_id % 7 = 0 THEN 'unversioned' ELSE substr(md5(conv_id::VARCHAR), 1, (conv_id % 3 + 6)::INT) END AS revision FROM conversations)"
+SECRET = " OR ".join(f"regexp_matches(text, '{p}')" for p in V.SECRETS.values())
+CHECKS = ("public_source", "public_license", "fixed_revision", "reproducible_input", "verification_signal", "message_structure", "sensitive_scan")
+LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+def header(s, d):
+    k = F.col("conv_id")
+    return table(s, d, "conversations").select(k).distinct().select(
+        k.alias("session"), F.when(k % 5 == 0, "private").otherwise(V.PUBLIC_SOURCE).alias("source_type"),
+        F.when(k % 4 == 0, "MIT").when(k % 4 == 1, "Apache-2.0").when(k % 4 == 2, "GPL-3.0").alias("license"),
+        F.when(k % 7 == 0, "unversioned").otherwise(F.md5(k.cast("string").cast("binary")).substr(F.lit(1), (k % 3 + 6).cast("int"))).alias("revision"))
+
+
 @query("session_gate", oracle(
-    "SELECT conv_id, has_user, has_assistant, roles_known, sizes_ok, no_secret, consecutive, array_to_string(list_filter([CASE WHEN NOT has_user THEN 'has_user' END, CASE WHEN NOT has_assistant THEN 'has_assistant' END, CASE WHEN NOT roles_known THEN 'roles_known' END, CASE WHEN NOT sizes_ok THEN 'sizes_ok' END, CASE WHEN NOT no_secret THEN 'no_secret' END, CASE WHEN NOT consecutive THEN 'consecutive' END], lambda x: x IS NOT NULL), ',') AS failed, has_user AND has_assistant AND roles_known AND sizes_ok AND no_secret AND consecutive AS eligible FROM "
-    f"(SELECT conv_id, bool_or(role = 'user') AS has_user, bool_or(role = 'assistant') AS has_assistant, bool_and(role IN ('system', 'user', 'assistant')) AS roles_known, bool_and(length(text) <= 6000) AS sizes_ok, bool_and({KINDS} = '') AS no_secret, count(*) = max(turn) - min(turn) + 1 AS consecutive FROM conversations GROUP BY 1)"))
+    "SELECT session, " + ", ".join(CHECKS) + ", array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {c} THEN '{c}' END" for c in CHECKS) + "], lambda x: x IS NOT NULL), ',') AS failed, " + " AND ".join(CHECKS) + " AS eligible FROM checked",
+    HEADER,
+    f"said AS (SELECT conv_id, bool_or(role = 'user' AND regexp_matches(text, '{V.REPRODUCIBLE}')) AS reproducible_input, bool_or(regexp_matches(text, '{V.VERIFIED}')) AS verification_signal, count(*) >= 2 AND bool_or(role IN {LIST(V.ROLES[1:])}) AS message_structure, NOT bool_or({SECRET}) AS sensitive_scan FROM conversations GROUP BY 1)",
+    f"checked AS (SELECT session, source_type = 'public_synthetic' AS public_source, coalesce(license IN {LIST(V.LICENSES)}, false) AS public_license, revision <> 'unversioned' AND length(revision) >= 7 AS fixed_revision, reproducible_input, verification_signal, message_structure, sensitive_scan FROM header JOIN said ON conv_id = session)"))
 def session_gate(s, d):
-    return V.session_gate(table(s, d, "conversations"))
+    """Seven checks of every session, with a header made of its number."""
+    return V.session_gate(header(s, d), table(s, d, "conversations").select(F.col("conv_id").alias("session"), "role", "text"))
+
+
+@query("message_validation", oracle(f"SELECT conv_id, turn, CASE WHEN role NOT IN {LIST(V.ROLES)} THEN 'role' WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 6000 THEN 'too_long' WHEN {SECRET} THEN 'secret' END AS fault FROM conversations"))
+def message_validation(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", V.message_fault(F.col("role"), F.col("text")).alias("fault"))
 
 
 @query("secret_scan", oracle(f"SELECT doc_id, {KINDS} AS kinds FROM documents"))

@@ -32,6 +32,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ Q, SHORT = 5, 8
 MAX_EDITS = 0.15
 WALKS, SAMPLED, REPEATS = 8, 3, 240
 ITEM_CHARS, BUCKETS, BATCH = 4_000_000, 20, 256
+TOGETHER = 1 << 21
 CHUNK = 1 << 15  # characters of a batch that are looked at together
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,9 +163,9 @@ class Items:
     def windows(self, c: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
         """(item, least, greatest start, likely starts) of the windows with enough grams of an item on near diagonals."""
         found = []
-        g = buckets(c) if len(c) >= Q else np.zeros(0, np.int64)
-        for base in range(0, len(g), CHUNK):
-            found += [(k, base + lo, base + hi, [base + s for s in starts]) for k, lo, hi, starts in self._windows(g[base : base + CHUNK + 2 * self.span])]
+        for base in range(0, len(c) - Q + 1, CHUNK):
+            g = buckets(c[base : base + CHUNK + 2 * self.span + Q - 1])
+            found += [(k, base + lo, base + hi, [base + s for s in starts]) for k, lo, hi, starts in self._windows(g)]
         return found
 
     def _windows(self, g: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
@@ -253,6 +255,16 @@ class Items:
                     yield (r, k), (max(0, lo - at - int(self.slack[k])), max(0, hi - at + int(self.size[k] + self.slack[k])))
 
 
+def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, text) cut to about TOGETHER bytes of text; a longer text is a batch of its own."""
+    for b in batches:
+        sizes = np.array(pc.fill_null(pc.binary_length(b.column(1)), 0))
+        part = np.cumsum(sizes) // TOGETHER
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            yield b.slice(i, j - i)
+
+
 @lru_cache(maxsize=2)
 def indexed(items: tuple[tuple[int, str], ...]) -> Items:
     """The block's index, built once in each Python worker."""
@@ -272,7 +284,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch], items=tuple(items)) -> Iterator[pa.RecordBatch]:
             index = indexed(items)
-            for b in batches:
+            for b in parted(batches):
                 got = index.matches([normal(t) for t in b.column(1).to_pylist()])
                 rows = pa.array([r for r, *_ in got], pa.int64())
                 cols = [pa.array([x[k] for x in got], pa.int64()) for k in range(1, 5)]

@@ -54,14 +54,3 @@ def subgraph(reached: DataFrame, edges: DataFrame) -> DataFrame:
     members = reached.select("seed", "id").unionByName(reached.select("seed", F.col("seed").alias("id"))).distinct()
     out = members.withColumnRenamed("id", "src").join(edges.select("src", "dst", "confidence"), "src")
     return out.join(members.withColumnRenamed("id", "dst"), ["seed", "dst"]).select("seed", "src", "dst", "confidence")
-
-
-def propagate(changed: DataFrame, consumers: DataFrame, levels: int) -> DataFrame:
-    """id, depth, path: what consumes changed ids, level by level, with the least path (`a>b>c`)."""
-    level = changed.select("id", F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"))
-    out = level
-    for depth in range(1, levels + 1):
-        up = level.withColumnRenamed("id", "child").join(consumers, "child")
-        level = up.groupBy(F.col("parent").alias("id")).agg(F.min(F.concat_ws(">", "path", F.col("parent").cast("string"))).alias("path")).select("id", F.lit(depth).alias("depth"), "path")
-        out = out.unionByName(level)
-    return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heddle.operators import incremental as I
-from heddle.operators.graph import dedup_edges, propagate
+from heddle.operators.contracts import propagate
+from heddle.operators.graph import dedup_edges
 from heddle.plans import facts
 from heddle.plans.facts import oracle
 from heddle.registry import query
@@ -53,13 +54,15 @@ def retract_edges(s, d):
     return I.retract(facts.edge_obs(s, d), gone)
 
 
-@query("rebuild_equivalence", oracle("SELECT 0::BIGINT AS n_different"))
+CHANGED = "changed AS (SELECT tu, CASE WHEN tu IN (SELECT tu FROM gone) THEN dst ELSE src END AS src, CASE WHEN tu IN (SELECT tu FROM gone) THEN src ELSE dst END AS dst, confidence FROM edge_obs)"
+
+
+@query("rebuild_equivalence", oracle("SELECT confidence, count(*) AS n_edges, sum(n_obs)::BIGINT AS n_obs, sum(src * 31 + dst)::BIGINT AS ends FROM (SELECT src, dst, confidence, count(DISTINCT tu) AS n_obs FROM changed GROUP BY 1, 2, 3) GROUP BY 1", GONE, CHANGED))
 def rebuild_equivalence(s, d):
-    """Edges after pending orders were read anew, against a full rebuild: no difference."""
+    """Edges by confidence after pending orders were read anew with every edge turned; SQL rebuilds all from the changed units."""
     observed = facts.edge_obs(s, d)
-    again = observed.join(table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("tu")), "tu", "left_semi")
-    both = dedup_edges(I.refresh(observed, again)).withColumn("s", F.lit(1)).unionByName(dedup_edges(observed).withColumn("s", F.lit(-1)))
-    return both.groupBy("src", "dst", "confidence", "n_obs").agg(F.sum("s").alias("s")).where("s <> 0").agg(F.count("*").alias("n_different"))
+    again = observed.join(table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("tu")), "tu", "left_semi").select("tu", F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence")
+    return dedup_edges(I.refresh(observed, again)).groupBy("confidence").agg(F.count("*").alias("n_edges"), F.sum("n_obs").alias("n_obs"), F.sum(F.col("src") * 31 + F.col("dst")).alias("ends"))
 
 
 @query("orphan_nodes", oracle("SELECT id, name FROM node WHERE id NOT IN (SELECT src FROM edge UNION SELECT dst FROM edge)"))
@@ -111,7 +114,7 @@ def propagate_changes(s, d):
     people = table(s, d, "customer")
     consumers = people.select(tagged("c", "c_custkey").alias("child"), tagged("n", "c_nationkey").alias("parent")).unionByName(
         table(s, d, "nation").select(tagged("n", "n_nationkey").alias("child"), tagged("r", "n_regionkey").alias("parent")))
-    return propagate(people.where("c_acctbal < 0").select(tagged("c", "c_custkey").alias("id")), consumers, 2)
+    return propagate(people.where("c_acctbal < 0").select(tagged("c", "c_custkey").alias("id")), consumers, people.count(), 2).drop("mode")
 
 
 @query("dependency_check", oracle("SELECT s_suppkey AS owner, CASE WHEN n_nationkey IS NULL THEN 'missing' WHEN s_acctbal < 0 THEN 'changed' ELSE 'current' END AS state FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey"))

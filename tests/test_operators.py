@@ -8,6 +8,8 @@ from heddle.operators import governance as V
 from heddle.operators import graph as G
 from heddle.operators import incremental as I
 from heddle.operators import ranking as K
+from heddle.functions.text import terms
+from heddle.operators import contracts as C
 from heddle.operators import retrieval as R
 
 
@@ -77,21 +79,60 @@ def test_hidden_rows_do_not_fill_the_top(spark):
 
 def test_nonsense_is_refused(spark):
     asked = spark.createDataFrame([(1, "alpha beta"), (2, "zzzz")], "qid int, text string")
-    postings = spark.createDataFrame([(5, "alpha", 1), (6, "gamma", 2)], "rowid int, term string, tf bigint")
-    found = R.bm25(postings, R.query_terms(asked)).withColumn("level", F.lit("A"))
+    matched = spark.createDataFrame([(5, "alpha", 1, 4)], "rowid int, term string, tf bigint, dl int")
+    corpus = spark.createDataFrame([(2, 3.0)], "n_docs bigint, avgdl double")
+    found = R.bm25(R.bm25_scores(matched, corpus, R.query_terms(asked))).withColumn("level", F.lit("A"))
     assert [(r.qid, r.refused) for r in R.decide(asked, found).orderBy("qid").collect()] == [(1, False), (2, True)]
 
 
-def test_session_gate(spark):
-    said = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "password: x"), (2, 2, "robot", "y" * 7000)]
-    got = {r.conv_id: r.failed for r in V.session_gate(spark.createDataFrame(said, "conv_id int, turn int, role string, text string")).collect()}
-    assert got == {1: "", 2: "has_assistant,roles_known,sizes_ok,no_secret,consecutive"}
+def test_terms_of_any_script(spark):
+    df = spark.createDataFrame([("Naïve Straße 数据库 a_1!",)], "t string")
+    assert df.select(terms("t").alias("x")).first().x == ["naïve", "straße", "数据库", "a_1"]
+
+
+def test_symbol_tiers(spark):
+    symbols = spark.createDataFrame([(1, "get_user_name", "core"), (2, "get_user_id", "core"), (3, "set_flag", "util"), (4, "user_name_get_all", "x"), (5, "other_thing_here", "y")], "rowid int, name string, file string")
+    names = spark.createDataFrame([(1, "get_user_name", "get_user_")], "qid int, full_name string, start string")
+    query = spark.createDataFrame([(1, t) for t in ("get", "user", "name", "util")], "qid int, term string")
+    got = [(r.rowid, r.tier, r.rank) for r in R.symbol_lane(symbols, names, query, ("get",)).orderBy("rank").collect()]
+    assert got == [(1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 4, 4)]
+
 
+def test_expansion_goes_both_ways_and_keeps_the_best(spark):
+    fused = spark.createDataFrame([(1, 10, 1.0, 1), (1, 20, 0.5, 2)], "qid int, rowid int, score double, rank bigint")
+    edges = spark.createDataFrame([(10, 30), (40, 10), (30, 50), (20, 30)], "src int, dst int")
+    got = sorted((r.rowid, r.hop, r.score) for r in R.expand(fused, edges).collect())
+    assert got == [(30, 1, 0.75), (40, 1, 0.75), (50, 2, 0.5625)]
 
-def test_propagation_takes_the_least_path(spark):
-    up = spark.createDataFrame([("a", "p"), ("b", "p"), ("p", "q")], "child string, parent string")
-    got = rows(G.propagate(spark.createDataFrame([("b",), ("a",)], "id string"), up, 2))
-    assert ("p", 1, "a>p") in got and ("q", 2, "a>p>q") in got
+
+def test_reserved_slots(spark):
+    ranked = spark.createDataFrame([(1, i, i) for i in range(1, 16)], "qid int, rowid int, rank bigint")
+    order = lambda wanted: [r.rowid for r in R.reserve(ranked, spark.createDataFrame([(1, i, t) for t, i in enumerate(wanted, 1)], "qid int, rowid int, turn int"), 10).orderBy("rank").collect()]
+    plain = list(range(1, 16))
+    assert order([3]) == plain
+    assert order([12]) == [*range(1, 10), 12, 10, 11, 13, 14, 15]
+    assert order([12, 14]) == [*range(1, 9), 12, 9, 14, 10, 11, 13, 15]
+    assert order([10, 14]) == [*range(1, 9), 10, 9, 14, 11, 12, 13, 15]
+
+
+def test_session_gate(spark):
+    said = [(1, "user", "what does parse_item( do"), (1, "developer", "check it"), (2, "user", "Password: x"), (2, "system", "y")]
+    heads = [(1, "public_synthetic", "MIT", "abcdef1"), (2, "private", None, "unversioned"), (3, "public_synthetic", "MIT", "abcdef1")]
+    got = V.session_gate(spark.createDataFrame(heads, "session int, source_type string, license string, revision string"), spark.createDataFrame(said, "session int, role string, text string"))
+    assert {r.session: r.failed for r in got.collect()} == {
+        1: "", 2: "public_source,public_license,fixed_revision,reproducible_input,verification_signal,message_structure,sensitive_scan",
+        3: "reproducible_input,verification_signal,message_structure,sensitive_scan"}
+
+
+def test_propagation_with_diamond_and_cycle(spark):
+    up = spark.createDataFrame([("a", "p"), ("b", "p"), ("p", "q"), ("a", "q"), ("q", "a"), ("q", "r"), ("r", "s"), ("s", "t")], "child string, parent string")
+    start = spark.createDataFrame([("b",), ("a",)], "id string")
+    got = rows(C.propagate(start, up, 1000, 4))
+    assert [(i, d, p) for i, d, p, _ in got] == [("a", 0, "a"), ("b", 0, "b"), ("p", 1, "a>p"), ("q", 1, "a>q"), ("r", 2, "a>q>r"), ("s", 3, "a>q>r>s"), ("t", 4, "a>q>r>s>t")]
+    assert {m for *_, m in got} == {"full_revalidation"}
+    short = rows(C.propagate(start, up.where("child <> 'r'"), 1000, 4))
+    assert {m for *_, m in short} == {"dependency_revalidation"} and len(short) == 5
+    assert {m for *_, m in rows(C.propagate(start, up.where("child <> 'r'"), 10, 4))} == {"full_revalidation"}
 
 
 def test_snapshot_plan_and_changes(spark):

@@ -61,15 +61,15 @@ def propagate(changed: DataFrame, consumers: DataFrame, total: int, levels: int,
     `most_depth` still has consumers not seen before, or more than min(500, 30 % of total) are affected.
     """
     step = consumers.select(F.col("child").alias("at"), F.col("parent").alias("id")).distinct()
-    level = changed.select("id").distinct().select("id", F.lit(0).alias("depth"), F.col("id").cast("string").alias("path"))
+    level = changed.select("id").distinct().select("id", F.lit(0).alias("depth"), F.array(F.col("id").cast("string")).alias("path"))
     seen, deep = level, F.lit(False)
     for depth in range(1, levels + 1):
         up = level.select(F.col("id").alias("at"), "path").join(step, "at").join(seen.select("id"), "id", "left_anti")
-        level = up.groupBy("id").agg(F.min("path").alias("path")).select("id", F.lit(depth).alias("depth"), F.concat_ws(">", "path", F.col("id").cast("string")).alias("path"))
+        level = up.groupBy("id").agg(F.min("path").alias("path")).select("id", F.lit(depth).alias("depth"), F.array_append("path", F.col("id").cast("string")).alias("path"))
         seen = seen.unionByName(level)
     full = seen.agg((F.count("*") > min(500, max(1, total * 0.3))).alias("many"), F.coalesce(F.max("depth") > most_depth, deep).alias("deep"))
     mode = F.when(F.col("many") | F.col("deep"), "full_revalidation").otherwise("dependency_revalidation")
-    return seen.join(F.broadcast(full), F.lit(True)).select("id", "depth", "path", mode.alias("mode"))
+    return seen.join(F.broadcast(full), F.lit(True)).select("id", "depth", F.array_join("path", ">").alias("path"), mode.alias("mode"))
 
 
 def cycles(edges: DataFrame, most: int = 8) -> DataFrame:

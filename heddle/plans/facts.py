@@ -92,23 +92,26 @@ def matched(s: SparkSession, d: str, query: DataFrame) -> DataFrame:
     return rows.join(wanted, "term", "left_semi").groupBy("rowid", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus(s: SparkSession, d: str) -> DataFrame:
-    """One row: n_docs and avgdl of the visible chunks that hold a term."""
-    sizes = chunk(s, d).where("visible").select(F.size(terms("text")).alias("dl")).where("dl > 0")
-    return sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def meta(s: SparkSession, d: str) -> DataFrame:
+    """rowid, level, file, path, chars, dl, name of visible chunks, without their texts: one pass serves sizes, symbols and features.
 
+    A chunk is named by its first NAME_TERMS terms and stands in source/lang.
+    """
+    rows = chunk(s, d).where("visible").select("*", terms("text").alias("t"))
+    return rows.select(
+        "rowid", "level", F.lower("source").alias("file"), F.concat_ws("/", "source", "lang").alias("path"), F.length("text").alias("chars"),
+        F.size("t").alias("dl"), F.array_join(F.slice("t", 1, NAME_TERMS), "_").alias("name"))
 
-def symbol(s: SparkSession, d: str) -> DataFrame:
-    """rowid, name, path: a visible chunk is named by its first NAME_TERMS terms and stands in source/lang."""
-    rows = chunk(s, d).where("visible").select("rowid", F.slice(terms("text"), 1, NAME_TERMS).alias("t"), F.concat_ws("/", "source", "lang").alias("path"), "source")
-    return rows.where("size(t) > 0").select("rowid", F.array_join("t", "_").alias("name"), "path", F.lower("source").alias("file"))
 
+def corpus(meta: DataFrame) -> DataFrame:
+    """One row: n_docs and avgdl of the chunks that hold a term."""
+    return meta.where("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-def links(s: SparkSession, d: str) -> DataFrame:
+
+def links(s: SparkSession, d: str, meta: DataFrame) -> DataFrame:
     """src, dst: confirmed edges between visible chunks (a chunk is the node of its number)."""
-    ids = chunk(s, d).where("visible").select("rowid")
-    rows = certain(s, d).join(ids.withColumnRenamed("rowid", "src"), "src", "left_semi")
-    return rows.join(ids.withColumnRenamed("rowid", "dst"), "dst", "left_semi").select("src", "dst")
+    rows = certain(s, d).join(meta.select(F.col("rowid").alias("src")), "src", "left_semi")
+    return rows.join(meta.select(F.col("rowid").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 def question(s: SparkSession, d: str) -> DataFrame:

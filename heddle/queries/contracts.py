@@ -64,15 +64,15 @@ def question_intent(s, d):
 
 
 PROPAGATE = (
-    "uses AS MATERIALIZED (SELECT DISTINCT src AS at, dst AS id FROM certain WHERE src % 3 = 0)", "l0 AS (SELECT id, id::VARCHAR AS path FROM node WHERE p_size = 50)",
-    "l1 AS MATERIALIZED (SELECT u.id, min(path) || '>' || u.id AS path FROM l0 JOIN uses u ON u.at = l0.id WHERE u.id NOT IN (SELECT id FROM l0) GROUP BY u.id)",
-    "l2 AS MATERIALIZED (SELECT u.id, min(path) || '>' || u.id AS path FROM l1 JOIN uses u ON u.at = l1.id WHERE u.id NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1) GROUP BY u.id)",
-    "l3 AS (SELECT u.id, min(path) || '>' || u.id AS path FROM l2 JOIN uses u ON u.at = l2.id WHERE u.id NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2) GROUP BY u.id)",
+    "uses AS MATERIALIZED (SELECT DISTINCT src AS at, dst AS id FROM certain WHERE src % 3 = 0)", "l0 AS (SELECT id, [id::VARCHAR] AS path FROM node WHERE p_size = 50)",
+    "l1 AS MATERIALIZED (SELECT u.id, list_append(min(path), u.id::VARCHAR) AS path FROM l0 JOIN uses u ON u.at = l0.id WHERE u.id NOT IN (SELECT id FROM l0) GROUP BY u.id)",
+    "l2 AS MATERIALIZED (SELECT u.id, list_append(min(path), u.id::VARCHAR) AS path FROM l1 JOIN uses u ON u.at = l1.id WHERE u.id NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1) GROUP BY u.id)",
+    "l3 AS (SELECT u.id, list_append(min(path), u.id::VARCHAR) AS path FROM l2 JOIN uses u ON u.at = l2.id WHERE u.id NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2) GROUP BY u.id)",
     "seen AS MATERIALIZED (SELECT id, 0 AS depth, path FROM l0 UNION ALL SELECT id, 1, path FROM l1 UNION ALL SELECT id, 2, path FROM l2 UNION ALL SELECT id, 3, path FROM l3)",
 )
 
 
-@query("propagate_graph", oracle("SELECT id, depth, path, CASE WHEN (SELECT count(*) FROM seen) > least(500, greatest(1, 0.3 * (SELECT count(*) FROM node))) OR (SELECT max(depth) FROM seen) > 2 THEN 'full_revalidation' ELSE 'dependency_revalidation' END AS mode FROM seen", *PROPAGATE))
+@query("propagate_graph", oracle("SELECT id, depth, array_to_string(path, '>') AS path, CASE WHEN (SELECT count(*) FROM seen) > least(500, greatest(1, 0.3 * (SELECT count(*) FROM node))) OR (SELECT max(depth) FROM seen) > 2 THEN 'full_revalidation' ELSE 'dependency_revalidation' END AS mode FROM seen", *PROPAGATE))
 def propagate_graph(s, d):
     """Three levels of consumers on a graph with cycles and several ways to a node."""
     nodes = facts.node(s, d)

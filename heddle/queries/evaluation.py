@@ -66,7 +66,7 @@ def refusal_accuracy(s, d):
     """The share of questions with a lexical hit, which are those that must not be refused."""
     q = facts.question(s, d)
     wanted = R.query_terms(q)
-    hit = R.bm25(R.bm25_scores(facts.matched(s, d, wanted), facts.corpus(s, d), wanted)).select("qid").distinct().withColumn("hit", F.lit(1))
+    hit = R.bm25(R.bm25_scores(facts.matched(s, d, wanted), facts.corpus(facts.meta(s, d)), wanted)).select("qid").distinct().withColumn("hit", F.lit(1))
     return q.select("qid").join(hit, "qid", "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("accuracy"))
 
 

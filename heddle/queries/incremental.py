@@ -107,7 +107,9 @@ def merkle_repo(s, d):
 
 
 @query("propagate_changes", oracle(
-    "SELECT id, depth, path FROM (SELECT 'c' || c_custkey AS id, 0 AS depth, 'c' || c_custkey AS path FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'n' || c_nationkey, 1, min('c' || c_custkey || '>' || 'n' || c_nationkey) FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey UNION ALL SELECT 'r' || n_regionkey, 2, min(p || '>' || 'r' || n_regionkey) FROM (SELECT c_nationkey AS nk, min('c' || c_custkey || '>' || 'n' || c_nationkey) AS p FROM customer WHERE c_acctbal < 0 GROUP BY 1) JOIN nation ON n_nationkey = nk GROUP BY n_regionkey)"))
+    "SELECT id, depth, array_to_string(path, '>') AS path FROM (SELECT * FROM debt UNION ALL SELECT * FROM nations UNION ALL SELECT 'r' || n_regionkey, 2, list_append(min(path), 'r' || n_regionkey) FROM nations JOIN nation ON 'n' || n_nationkey = id GROUP BY n_regionkey)",
+    "debt AS (SELECT 'c' || c_custkey AS id, 0 AS depth, ['c' || c_custkey] AS path FROM customer WHERE c_acctbal < 0)",
+    "nations AS (SELECT 'n' || c_nationkey AS id, 1 AS depth, list_append(min(path), 'n' || c_nationkey) AS path FROM debt JOIN customer ON 'c' || c_custkey = id GROUP BY c_nationkey)"))
 def propagate_changes(s, d):
     """What depends on customers in debt: their nations, and those nations' regions."""
     tagged = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"))

@@ -69,22 +69,21 @@ class Batch:
         self.s, self.d = s, d
         self.questions = facts.question(s, d)
         self.terms = R.query_terms(self.questions)
-        self.chunks = facts.chunk(s, d).where("visible")
-        matched = facts.matched(s, d, self.terms)
-        self.scores = R.bm25_scores(matched, facts.corpus(s, d), self.terms).persist()
+        self.meta = facts.meta(s, d).persist()
+        self.scores = R.bm25_scores(facts.matched(s, d, self.terms), facts.corpus(self.meta), self.terms).persist()
         self.text = R.bm25(self.scores)
-        self.card = R.card_lane(self.scores, self.chunks.where("level = 'A'"))
+        self.card = R.card_lane(self.scores, self.meta.where("level = 'A'"))
 
     def symbols(self) -> DataFrame:
         t = F.slice(terms("text"), 1, facts.NAME_TERMS)
         names = self.questions.select("qid", t.alias("t")).where(F.size("t") >= facts.NAME_TERMS)
         names = names.select("qid", F.array_join("t", "_").alias("full_name"), F.concat(F.array_join(F.slice("t", 1, 2), "_"), F.lit("_")).alias("start"))
-        return R.symbol_lane(facts.symbol(self.s, self.d), names, self.terms)
+        return R.symbol_lane(self.meta.where("dl > 0").select("rowid", "name", "file"), names, self.terms)
 
     def vectors(self, symbols: DataFrame) -> DataFrame:
         """Nearest visible vectors to a question's label mean; empty for a question without a lexical hit."""
         rows = table(self.s, self.d, "embeddings")
-        shown = rows.join(self.chunks.select(F.col("rowid").alias("vec_id")), "vec_id", "left_semi")
+        shown = rows.join(self.meta.select(F.col("rowid").alias("vec_id")), "vec_id", "left_semi")
         best = R.vector_lane(shown, R.centroids(rows).select(F.col("label").alias("qid"), F.col("mean").alias("v")))
         asked = self.questions.select("qid", (F.col("qid") % 10).cast("int").alias("label"))
         hit = self.text.select("qid").unionByName(symbols.select("qid")).distinct()
@@ -100,9 +99,9 @@ class Batch:
         """Fused rows and what they reach, with features, in order of the weighted sum."""
         symbols, fused = self.fused()
         fused = fused.persist()
-        links = facts.links(self.s, self.d)
+        links = facts.links(self.s, self.d, self.meta).persist()
         pool = fused.select("qid", "rowid", "score", F.lit(0).alias("hop")).unionByName(R.expand(fused, links).select("qid", "rowid", "score", "hop"))
-        meta = self.chunks.select("rowid", "level", F.length("text").alias("chars"), F.lower("source").alias("term"))
+        meta = self.meta.select("rowid", "level", "chars", F.col("file").alias("term"))
         fan = links.groupBy(F.col("dst").alias("rowid")).agg(F.count("*").alias("fan_in"))
         kind = facts.node(self.s, self.d).select(F.col("id").alias("rowid"), "is_definition")
         rows = pool.join(meta, "rowid").join(self.terms.groupBy("qid").agg(F.count("*").alias("n_terms")), "qid")
@@ -113,7 +112,7 @@ class Batch:
     def final(self) -> DataFrame:
         """The ranking with its reserved slots: two lexical code hits that share a name part, and one leading card."""
         ranked = self.ranked().select("qid", "rowid", "level", "final", "rank").persist()
-        part = facts.symbol(self.s, self.d).select("rowid", F.explode(F.array_distinct(F.split("name", "_"))).alias("term")).where("length(term) >= 2")
+        part = self.meta.where("dl > 0").select("rowid", F.explode(F.array_distinct(F.split("name", "_"))).alias("term")).where("length(term) >= 2")
         shared = self.terms.join(part, "term").select("qid", "rowid").distinct()
         code = ranked.where("level = 'A'").select("qid", "rowid").join(self.text.select("qid", "rowid", F.col("rank").alias("at")), ["qid", "rowid"])
         code = K.top(code.join(shared, ["qid", "rowid"], "left_semi"), "qid", ["at"], CODE_SLOTS, name="turn").select("qid", "rowid", "turn")
@@ -166,7 +165,8 @@ def rrf_fusion(s, d):
 @query("graph_heads", oracle("SELECT qid, rowid, hop, score FROM heads", *FUSED, *HEADS))
 def graph_heads(s, d):
     """What the eight best fused rows reach in two hops of either direction."""
-    return R.expand(Batch(s, d).fused()[1].persist(), facts.links(s, d))
+    batch = Batch(s, d)
+    return R.expand(batch.fused()[1].persist(), facts.links(s, d, batch.meta))
 
 
 @query("feature_rerank", oracle("SELECT qid, rowid, level, final, rank FROM reranked", *RANKED))

@@ -89,8 +89,13 @@ def mixed(placed: DataFrame) -> DataFrame:
 
 
 def star(rows: DataFrame, turn: int) -> DataFrame:
-    """a, b: each band's centre of this turn with every member outside the centre's component."""
-    centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("c"))
+    """a, b: each band's centre of this turn with every member outside the centre's component.
+
+    The centre is one of those that meet most others over all bands (`met`, by powers of two),
+    the least changed of a family of variants, which most of the others are near to.
+    """
+    order = F.struct(F.floor(F.log2("met")).alias("w"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")
+    centre = rows.groupBy("key").agg(F.max(order).alias("c"))
     pairs = rows.join(centre, "key").where("comp <> c.comp")
     return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
@@ -121,11 +126,14 @@ def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], tokens:
     `verified` keeps the true links of pairs (a, b); `tokens` gives the tokens (id, comp, t) of
     members (id, comp), of which two linked ones share `percent` of the union.
     """
-    now, links, old = held.withColumn("comp", F.col("id")), [], []
+    sizes = held.groupBy("key").agg(F.count("*").alias("m"))
+    met = held.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("met"))
+    now = materialize(held.join(met, "id").withColumn("comp", F.col("id")), "met")
+    links, old = [], [now]
     for turn in range(ROUNDS):
         links.append(materialize(verified(star(now, turn)), "links"))
         found = components(reduce(DataFrame.unionByName, links), "stars")
-        now = materialize(mixed(with_component(now.select("key", "id"), found)), "mixed")
+        now = materialize(mixed(with_component(now.select("key", "id", "met"), found)), "mixed")
         discard(*old)
         old = [found, now]
         if now.isEmpty():

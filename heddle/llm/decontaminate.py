@@ -296,6 +296,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, items: the distinct item ids found in each contaminated document."""
-    found = matches(docs, bench, id_col, text_col)
-    return found.groupBy(id_col).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    """id_col, version (xxhash64 of the text), items: the distinct item ids found in each contaminated text of an id, null ids too."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version")).alias("row")
+    found = matches(docs.select(row, F.col(text_col).alias("text")), bench, "row", "text")
+    return found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(F.col("row.id").alias(id_col), F.col("row.version").alias("version"), "items")

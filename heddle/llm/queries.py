@@ -30,8 +30,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: whether it holds a benchmark passage, and which items."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
-        "doc_id",
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["version"])
+    return docs.join(found, same, "left").select(
+        docs["doc_id"],
         F.col("items").isNotNull().alias("contaminated"),
         F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"),

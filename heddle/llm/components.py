@@ -10,10 +10,11 @@ Each round is written to the shared folder, so a lost executor costs at most one
 Classes: in each band every member is compared with one of them, its centre (a star), so that
 a large group of variants becomes one component without its pairs. ROUNDS stars with other
 centres follow in the bands that still hold several components, for members outside the
-centre's. In what is then still mixed, members outside a band's largest component meet those of
-its other components: directly in bands of at most FEW members, else by way of `rare`, which
-names the few rare things two members must share one of. No pair of a band is lost, and a
-frequent passage in very many different members makes no pairs.
+centre's. What is then still mixed is left to the operator's own way of comparing the rest;
+`across` is one: members outside a band's largest component meet those of its other components,
+directly in bands of at most FEW members, else by way of `rare`, which names the few rare things
+two members must share one of. No pair of a band is lost, and a frequent passage in very many
+different members makes no pairs.
 """
 
 from __future__ import annotations
@@ -120,11 +121,20 @@ def rare(tokens: DataFrame, percent: int) -> DataFrame:
     return ranked.select("id", "comp", F.explode(F.slice("r", F.lit(1), first)).alias("r")).where("r.df > 1").select(F.col("r.t").alias("t"), "id", "comp")
 
 
-def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def across(rest: DataFrame, verified: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """a, b: the true links of `rest` (key, id, comp, m); `tokens` gives the tokens (id, comp, t) of members (id, comp)."""
+    pairs = outside(rest.where(F.col("m") <= FEW), "key")
+    many = rest.where(F.col("m") > FEW).select("id", "comp").distinct()
+    if not many.isEmpty():
+        pairs = pairs.unionByName(outside(materialize(rare(tokens(many), percent), "rare"), "t"))
+    return verified(pairs.distinct())
+
+
+def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, component for the members of `held` (key, id) that are linked.
 
-    `verified` keeps the true links of pairs (a, b); `tokens` gives the tokens (id, comp, t) of
-    members (id, comp), of which two linked ones share `percent` of the union.
+    `verified` keeps the true links of pairs (a, b); `rest` finds those among the members that
+    stars leave in mixed bands (key, id, comp, m).
     """
     sizes = held.groupBy("key").agg(F.count("*").alias("m"))
     met = held.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("met"))
@@ -139,12 +149,7 @@ def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], tokens:
         if now.isEmpty():
             discard(now, *links)
             return found
-    pairs = outside(now.where(F.col("m") <= FEW), "key")
-    many = now.where(F.col("m") > FEW).select("id", "comp").distinct()
-    if not many.isEmpty():
-        old.append(materialize(rare(tokens(many), percent), "rare"))
-        pairs = pairs.unionByName(outside(old[-1], "t"))
-    links.append(materialize(verified(pairs.distinct()), "links"))
+    links.append(materialize(rest(now), "links"))
     found = components(reduce(DataFrame.unionByName, links), "classes")
     discard(*old, *links)
     return found

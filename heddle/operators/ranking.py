@@ -13,6 +13,11 @@ def top(rows: DataFrame, key: str | list[str], order: list, keep: int | None = N
     return ranked if keep is None else ranked.where(F.col(name) <= keep)
 
 
+def small(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """`rows`, to be broadcast if a count shows that they are few; otherwise joined like any table."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def prefix_within(rows: DataFrame, key: str, order: list, cost: str, budget: float) -> DataFrame:
     """The rows of a key up to the first that overflows the budget."""
     running = F.sum(cost).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

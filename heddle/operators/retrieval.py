@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import terms
-from heddle.operators.ranking import top
+from heddle.operators.ranking import small, top
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -22,11 +22,11 @@ def bm25_scores(matched: DataFrame, corpus: DataFrame, query: DataFrame) -> Data
     `matched` (rowid, term, tf, dl) holds only terms of the batch; `corpus` is one row.
     """
     often = matched.groupBy("term").agg(F.count("*").alias("n"))
-    rows = matched.join(often, "term").join(F.broadcast(corpus), F.lit(True))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = query.join(rows.select("rowid", "term", part.alias("part")), "term").groupBy("qid", "rowid")
-    return scored.agg(F.count("*").alias("hits"), F.round(F.sum("part"), 6).alias("score"))
+    asked = query.join(often, "term").join(F.broadcast(corpus), F.lit(True)).select("qid", "term", idf.alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = matched.join(small(asked), "term").groupBy("qid", "rowid")
+    return scored.agg(F.count("*").alias("hits"), F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25(scores: DataFrame, keep: int = 30) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import terms
+from heddle.operators.ranking import small
 from heddle.sources.tables import table
 
 NAME_TERMS = 6
@@ -88,8 +89,7 @@ def postings(s: SparkSession, d: str) -> DataFrame:
 def matched(s: SparkSession, d: str, query: DataFrame) -> DataFrame:
     """rowid, term, tf, dl of visible chunks, only for terms that a question holds: one pass over the texts."""
     rows = chunk(s, d).where("visible").select("rowid", terms("text").alias("all")).select("rowid", F.size("all").alias("dl"), F.explode("all").alias("term"))
-    wanted = query.select("term").distinct()
-    return rows.join(wanted, "term", "left_semi").groupBy("rowid", "term", "dl").agg(F.count("*").alias("tf"))
+    return rows.join(small(query.select("term").distinct()), "term", "left_semi").groupBy("rowid", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def meta(s: SparkSession, d: str) -> DataFrame:

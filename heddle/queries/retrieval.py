@@ -70,7 +70,8 @@ class Batch:
         self.questions = facts.question(s, d)
         self.terms = R.query_terms(self.questions)
         self.meta = facts.meta(s, d).persist()
-        self.scores = R.bm25_scores(facts.matched(s, d, self.terms), facts.corpus(self.meta), self.terms).persist()
+        matched = facts.matched(s, d, self.terms).persist()
+        self.scores = R.bm25_scores(matched, facts.corpus(self.meta), self.terms).persist()
         self.text = R.bm25(self.scores)
         self.card = R.card_lane(self.scores, self.meta.where("level = 'A'"))
 

@@ -10,11 +10,7 @@ Each round is written to the shared folder, so a lost executor costs at most one
 Classes: in each band every member is compared with one of them, its centre (a star), so that
 a large group of variants becomes one component without its pairs. ROUNDS stars with other
 centres follow in the bands that still hold several components, for members outside the
-centre's. What is then still mixed is left to the operator's own way of comparing the rest;
-`across` is one: members outside a band's largest component meet those of its other components,
-directly in bands of at most FEW members, else by way of `rare`, which names the few rare things
-two members must share one of. No pair of a band is lost, and a frequent passage in very many
-different members makes no pairs.
+centre's. What is then still mixed is left to the operator's own way of comparing the rest.
 """
 
 from __future__ import annotations
@@ -73,7 +69,7 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     return out
 
 
-ROUNDS, FEW = 3, 64
+ROUNDS = 3
 
 
 def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -101,35 +97,6 @@ def star(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def outside(rows: DataFrame, key: str) -> DataFrame:
-    """a, b: in each `key`, the members outside its largest component with those of its other components."""
-    sizes = rows.groupBy(key, "comp").agg(F.count("*").alias("size"))
-    top = sizes.groupBy(key).agg(F.max(F.struct("size", "comp")).alias("top")).select(key, F.col("top.comp").alias("most"))
-    left = rows.join(top, key).where("comp <> most").select(key, F.col("id").alias("u"), F.col("comp").alias("cu"))
-    pairs = left.join(rows.select(key, F.col("id").alias("v"), F.col("comp").alias("cv")), key).where("cu <> cv")
-    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-
-
-def rare(tokens: DataFrame, percent: int) -> DataFrame:
-    """t, id, comp: of each member's distinct `tokens` (id, comp, t), those that one at `percent` similarity must share one of.
-
-    Of n tokens, from rare to frequent, these are the first n - ceil(percent n) + 1 (prefix filter).
-    """
-    often = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = tokens.join(often, "t").groupBy("id", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
-    first = F.size("r") - F.ceil(F.size("r") * percent / 100).cast("int") + 1
-    return ranked.select("id", "comp", F.explode(F.slice("r", F.lit(1), first)).alias("r")).where("r.df > 1").select(F.col("r.t").alias("t"), "id", "comp")
-
-
-def across(rest: DataFrame, verified: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """a, b: the true links of `rest` (key, id, comp, m); `tokens` gives the tokens (id, comp, t) of members (id, comp)."""
-    pairs = outside(rest.where(F.col("m") <= FEW), "key")
-    many = rest.where(F.col("m") > FEW).select("id", "comp").distinct()
-    if not many.isEmpty():
-        pairs = pairs.unionByName(outside(materialize(rare(tokens(many), percent), "rare"), "t"))
-    return verified(pairs.distinct())
-
-
 def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, component for the members of `held` (key, id) that are linked.
 

@@ -30,3 +30,21 @@ reach AS (SELECT doc_id AS d, doc_id AS e FROM documents UNION SELECT r.d, l.y F
 least AS (SELECT d, min(e) AS m FROM reach GROUP BY 1)
 SELECT d AS doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id, d = m AS kept FROM least LEFT JOIN n ON n.doc_id = d
 """
+
+# CRC-32 by a table of its 256 remainders, itself from the rule; the polynomial is the usual reversed one.
+IMPORTANCE = rf"""
+WITH crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+doc AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+feature AS MATERIALIZED (SELECT k, unnest(ws) AS w FROM doc),
+aim AS MATERIALIZED (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+word AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT w FROM feature UNION SELECT w FROM aim), crc),
+s AS (SELECT b, count(*) AS s FROM feature JOIN word USING (w) GROUP BY 1), t AS (SELECT b, count(*) AS t FROM aim JOIN word USING (w) GROUP BY 1),
+total AS (SELECT (SELECT count(*) FROM feature)::DOUBLE AS all_s, (SELECT count(*) FROM aim)::DOUBLE AS all_t),
+gain AS (SELECT b, floor(1000 * ln(((coalesce(t, 0)::DOUBLE + 1) * (all_s + 10000)) / ((coalesce(s, 0)::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (b), total),
+own AS (SELECT k, sum(g)::BIGINT AS weight FROM feature JOIN word USING (w) JOIN gain USING (b) GROUP BY 1),
+scored AS (SELECT d.k, doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM doc d LEFT JOIN own o ON o.k = d.k),
+ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (10 * n) // 100 THEN r END AS rank FROM scored s LEFT JOIN ranked x ON x.k = s.k
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import ann, bpe, decontaminate, langid, licenses, lines, minhash, oracles, packing, repeats, toxicity
+from heddle.llm import ann, bpe, decontaminate, importance, langid, licenses, lines, minhash, oracles, packing, repeats, toxicity
 from heddle.llm.common import fold
 
 
@@ -78,7 +78,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at Jaccard 0.85 of three-word shingles."""
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85).drop("version")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark; every document's weight, score and rank."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_ann": op2_ann,
@@ -97,9 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_licenses": op10_licenses,
+    "op11_importance": op11_importance,
 }
 
-ORACLES: dict[str, str] = {"op1_repeats": oracles.REPEATS, "op9_minhash": oracles.MINHASH}
+ORACLES: dict[str, str] = {"op1_repeats": oracles.REPEATS, "op9_minhash": oracles.MINHASH, "op11_importance": oracles.IMPORTANCE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import ann, bpe, decontaminate, importance, langid, licenses, lines, minhash, oracles, packing, repeats, toxicity
+from heddle.llm import ann, bpe, decontaminate, importance, langid, licenses, lines, minhash, oracles, packing, quality, repeats, toxicity
 from heddle.llm.common import fold
 
 
@@ -91,6 +91,16 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a network learned on labelled rows whose fold is not 1."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality").where(fold("doc_id", 3) != 1)
+    vectors = quality.word_vectors(docs)
+    scored = quality.score(docs, vectors, quality.fit(docs, labels, vectors))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", predicted, "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_ann": op2_ann,
@@ -103,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_licenses": op10_licenses,
     "op11_importance": op11_importance,
+    "op13_quality": op13_quality,
 }
 
 ORACLES: dict[str, str] = {"op1_repeats": oracles.REPEATS, "op9_minhash": oracles.MINHASH, "op11_importance": oracles.IMPORTANCE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import ann, bpe, decontaminate, importance, langid, licenses, lines, minhash, oracles, packing, quality, repeats, toxicity
+from heddle.llm import ann, bpe, decontaminate, importance, langid, licenses, lines, minhash, negatives, oracles, packing, quality, repeats, toxicity
 from heddle.llm.common import fold
 
 
@@ -91,6 +91,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; every seventh vector has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by a network learned on labelled rows whose fold is not 1."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -113,10 +120,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_licenses": op10_licenses,
     "op11_importance": op11_importance,
+    "op12_negatives": op12_negatives,
     "op13_quality": op13_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_repeats": oracles.REPEATS, "op9_minhash": oracles.MINHASH, "op11_importance": oracles.IMPORTANCE}
+ORACLES: dict[str, str] = {"op1_repeats": oracles.REPEATS, "op9_minhash": oracles.MINHASH, "op11_importance": oracles.IMPORTANCE, "op12_negatives": oracles.NEGATIVES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,34 +54,6 @@ def modules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.select("path", F.when(F.col("r").isNotNull(), ruled).otherwise(folder).alias("module"))
 
 
-def propagate(changed: DataFrame, consumers: DataFrame, total: int, levels: int, most_depth: int = 2) -> DataFrame:
-    """id, depth, path, mode: what consumes changed ids, each once, at its least depth and by the first path (`a>b>c`).
-
-    `consumers` (child, parent). The mode is `full_revalidation` if something deeper than
-    `most_depth` still has consumers not seen before, or more than min(500, 30 % of total) are affected.
-    """
-    step = consumers.select(F.col("child").alias("at"), F.col("parent").alias("id")).distinct()
-    level = changed.select("id").distinct().select("id", F.lit(0).alias("depth"), F.array(F.col("id").cast("string")).alias("path"))
-    seen, deep = level, F.lit(False)
-    for depth in range(1, levels + 1):
-        up = level.select(F.col("id").alias("at"), "path").join(step, "at").join(seen.select("id"), "id", "left_anti")
-        level = up.groupBy("id").agg(F.min("path").alias("path")).select("id", F.lit(depth).alias("depth"), F.array_append("path", F.col("id").cast("string")).alias("path"))
-        seen = seen.unionByName(level)
-    full = seen.agg((F.count("*") > min(500, max(1, total * 0.3))).alias("many"), F.coalesce(F.max("depth") > most_depth, deep).alias("deep"))
-    mode = F.when(F.col("many") | F.col("deep"), "full_revalidation").otherwise("dependency_revalidation")
-    return seen.join(F.broadcast(full), F.lit(True)).select("id", "depth", F.array_join("path", ">").alias("path"), mode.alias("mode"))
-
-
-def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
-    """id, length: nodes that come back to themselves along `edges` (src, dst; one dst a src) within `most` steps."""
-    at = edges.select(F.col("src").alias("id"), F.col("dst").alias("at"))
-    found = at.where("id = at").select("id", F.lit(1).alias("length"))
-    for length in range(2, most + 1):
-        at = at.where("id <> at").join(edges.select(F.col("src").alias("at"), "dst"), "at").select("id", F.col("dst").alias("at"))
-        found = found.unionByName(at.where("id = at").select("id", F.lit(length).alias("length")))
-    return found
-
-
 def agreement(votes: DataFrame, arbiter: DataFrame) -> DataFrame:
     """trial, agreed, outcome: two reviewers' votes, the arbiter's where they differ, null where none decided.
 

@@ -30,16 +30,16 @@ def resolve_symbol_rules(s, d):
     return C.resolve_symbols(asked, nodes, ("ECONOMY", "PROMO", "STANDARD"))
 
 
-FILES = ("fpath AS (SELECT DISTINCT path FROM node WHERE id % 37 = 0)", "fasked AS (SELECT DISTINCT path AS q FROM node UNION SELECT DISTINCT kind FROM node UNION SELECT 'nowhere.c')")
+FILES = ("fpath AS (SELECT DISTINCT path FROM node)", "fasked AS (SELECT DISTINCT path AS q FROM node UNION SELECT DISTINCT kind FROM node UNION SELECT 'nowhere.c')")
 
 
 @query("resolve_file_rules", oracle(
     "SELECT q, CASE WHEN exact = 1 THEN 'exact' WHEN n = 1 THEN 'suffix' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, CASE WHEN exact = 1 THEN q WHEN n = 1 THEN first END AS path FROM (SELECT q, count(path) AS n, max(CASE WHEN path = q THEN 1 ELSE 0 END) AS exact, min(path) AS first FROM fasked LEFT JOIN fpath ON path = q OR ends_with(path, '/' || q) GROUP BY 1)", *FILES))
 def resolve_file_rules(s, d):
-    """Paths, bare file names and a missing one, against the files of some nodes."""
+    """Paths, bare file names and a missing one, against the files of all nodes."""
     nodes = facts.node(s, d)
     asked = C.union([nodes.select(F.col("path").alias("q")), nodes.select(F.col("kind").alias("q")), s.createDataFrame([("nowhere.c",)], "q string")])
-    return C.resolve_files(asked, nodes.where("id % 37 = 0"))
+    return C.resolve_files(asked, nodes)
 
 
 RULES = (("Brand#1", "first", False), ("Brand#12", "twelve", True), ("Brand#2/", "second", True), ("Brand#2/ECONOMY", "cheap", False))
@@ -63,31 +63,6 @@ def question_intent(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", asked.rlike(C.STRUCTURAL).alias("structural"), direction.alias("direction"), F.when(asked.contains("直接调用"), 1).otherwise(2).alias("hops"))
 
 
-PROPAGATE = (
-    "uses AS MATERIALIZED (SELECT DISTINCT src AS at, dst AS id FROM certain WHERE src % 3 = 0)", "l0 AS (SELECT id, [id::VARCHAR] AS path FROM node WHERE p_size = 50)",
-    "l1 AS MATERIALIZED (SELECT u.id, list_append(min(path), u.id::VARCHAR) AS path FROM l0 JOIN uses u ON u.at = l0.id WHERE u.id NOT IN (SELECT id FROM l0) GROUP BY u.id)",
-    "l2 AS MATERIALIZED (SELECT u.id, list_append(min(path), u.id::VARCHAR) AS path FROM l1 JOIN uses u ON u.at = l1.id WHERE u.id NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1) GROUP BY u.id)",
-    "l3 AS (SELECT u.id, list_append(min(path), u.id::VARCHAR) AS path FROM l2 JOIN uses u ON u.at = l2.id WHERE u.id NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2) GROUP BY u.id)",
-    "seen AS MATERIALIZED (SELECT id, 0 AS depth, path FROM l0 UNION ALL SELECT id, 1, path FROM l1 UNION ALL SELECT id, 2, path FROM l2 UNION ALL SELECT id, 3, path FROM l3)",
-)
-
-
-@query("propagate_graph", oracle("SELECT id, depth, array_to_string(path, '>') AS path, CASE WHEN (SELECT count(*) FROM seen) > least(500, greatest(1, 0.3 * (SELECT count(*) FROM node))) OR (SELECT max(depth) FROM seen) > 2 THEN 'full_revalidation' ELSE 'dependency_revalidation' END AS mode FROM seen", *PROPAGATE))
-def propagate_graph(s, d):
-    """Three levels of consumers on a graph with cycles and several ways to a node."""
-    nodes = facts.node(s, d)
-    uses = facts.certain(s, d).where("src % 3 = 0").select(F.col("src").alias("child"), F.col("dst").alias("parent"))
-    return C.propagate(nodes.where("p_size = 50").select("id"), uses, nodes.count(), 3)
-
-
-@query("supersede_cycles", oracle(
-    "SELECT id, min(n) AS length FROM chain WHERE id = here GROUP BY 1",
-    "pointer AS (SELECT src, max(dst) AS dst FROM certain GROUP BY 1)", "chain AS (SELECT src AS id, dst AS here, 1 AS n FROM pointer UNION ALL SELECT c.id, p.dst, c.n + 1 FROM chain c JOIN pointer p ON p.src = c.here WHERE c.n < 8 AND c.id <> c.here)"))
-def supersede_cycles(s, d):
-    """Nodes that supersede themselves by way of others."""
-    return C.cycles(facts.certain(s, d).groupBy("src").agg(F.max("dst").alias("dst")), 8)
-
-
 VOTES = (
     "votes AS (SELECT l_orderkey AS trial, l_linenumber AS reviewer, min(l_returnflag) AS outcome FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2)",
     "arbiter AS (SELECT o_orderkey AS trial, substr(o_orderpriority, 3, 1) AS outcome FROM orders WHERE o_orderstatus <> 'P')",
@@ -294,15 +269,6 @@ def fingerprint_catalog(s, d):
     return own.unionByName(mods.select(F.lit("module").alias("kind"), F.col("path").alias("name"), "hash"))
 
 
-@query("mechanism_inventory", oracle("SELECT id, CASE WHEN n_callees = 0 THEN 'no_callees' WHEN r > 1 THEN 'duplicate' ELSE 'available' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) AS r FROM (SELECT n.id, count(c.dst) AS n_callees, coalesce(string_agg((c.dst % 7)::VARCHAR, ',' ORDER BY c.dst % 7, c.dst), '') AS f FROM node n LEFT JOIN certain c ON c.src = n.id WHERE n.id % 11 = 0 GROUP BY 1))"))
-def mechanism_inventory(s, d):
-    """Entries with their closure's fingerprint: without callees excluded, equal closures kept once."""
-    listed = F.array_sort(F.collect_list(F.when(F.col("dst").isNotNull(), F.struct((F.col("dst") % 7).alias("k"), "dst"))))
-    rows = facts.node(s, d).where("id % 11 = 0").join(facts.certain(s, d).withColumnRenamed("src", "id"), "id", "left").groupBy("id").agg(F.count("dst").alias("n"), F.array_join(F.transform(listed, lambda x: x["k"].cast("string")), ",").alias("f"))
-    status = F.when(F.col("n") == 0, "no_callees").when(F.col("r") > 1, "duplicate").otherwise("available")
-    return top(rows, "f", ["id"], name="r").select("id", status.alias("status"))
-
-
 @query("interval_containment", oracle("SELECT doc_id, a AS anchor, count(*) AS n FROM (SELECT doc_id, unnest(range(0, n_chars, 500)) AS a FROM documents) JOIN (SELECT doc_id AS d, unnest(range(0, n_chars, 60)) AS s FROM documents) ON d = doc_id AND s <= a AND a < s + 90 GROUP BY 1, 2"))
 def interval_containment(s, d):
     """How many citation ranges of 90 characters hold each anchor; a range offers the cells it touches, so the join is on equality."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heddle.operators import incremental as I
-from heddle.operators.contracts import propagate
+from heddle.operators.dependencies import propagate
 from heddle.operators.graph import dedup_edges
 from heddle.plans import facts
 from heddle.plans.facts import oracle
@@ -116,7 +116,7 @@ def propagate_changes(s, d):
     people = table(s, d, "customer")
     consumers = people.select(tagged("c", "c_custkey").alias("child"), tagged("n", "c_nationkey").alias("parent")).unionByName(
         table(s, d, "nation").select(tagged("n", "n_nationkey").alias("child"), tagged("r", "n_regionkey").alias("parent")))
-    return propagate(people.where("c_acctbal < 0").select(tagged("c", "c_custkey").alias("id")), consumers, people.count(), 2).drop("mode")
+    return propagate(people.where("c_acctbal < 0").select(tagged("c", "c_custkey").alias("id")), consumers, people.count()).drop("mode")
 
 
 @query("dependency_check", oracle("SELECT s_suppkey AS owner, CASE WHEN n_nationkey IS NULL THEN 'missing' WHEN s_acctbal < 0 THEN 'changed' ELSE 'current' END AS state FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey"))

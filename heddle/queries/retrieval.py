@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import terms, tokens_by_bytes, tokens_by_script
 from heddle.operators import graph as G
+from heddle.operators import lexical as X
 from heddle.operators import ranking as K
 from heddle.operators import retrieval as R
+from heddle.operators import vectors as V
+from heddle.operators.fixpoint import written
 from heddle.plans import facts
 from heddle.plans.facts import oracle
 from heddle.registry import query
@@ -22,10 +27,16 @@ LANES = (
     "part AS (SELECT rowid, unnest(list_distinct(string_split(name, '_'))) AS term FROM symbol)",
     "tiers AS (SELECT qid, rowid, 1 AS tier, 0 AS worth FROM qname JOIN symbol ON name = full_name UNION ALL SELECT qid, rowid, 2, 0 FROM qname JOIN symbol ON regexp_extract(name, '^[^_]+_[^_]+_') = start AND name <> full_name UNION ALL SELECT qid, rowid, 3, 0 FROM qterm JOIN symbol ON term = file UNION ALL SELECT qid, rowid, 4, count(*) FROM qterm JOIN part USING (term) WHERE length(term) >= 2 GROUP BY 1, 2 HAVING count(*) >= 3)",
     "symbols AS MATERIALIZED (SELECT qid, rowid, tier, row_number() OVER (PARTITION BY qid ORDER BY tier, worth DESC, rowid) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, rowid ORDER BY tier, worth DESC) AS r FROM tiers) WHERE r = 1 QUALIFY rank <= 30)",
-    "vpart AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)",
-    "vmean AS (SELECT label, k, avg(x) AS m FROM vpart GROUP BY 1, 2)",
-    "vbest AS (SELECT m.label, p.vec_id AS rowid, round(sum(p.x * m.m), 6) AS score FROM vpart p JOIN vmean m ON m.k = p.k WHERE p.vec_id IN (SELECT rowid FROM chunk WHERE visible) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY m.label ORDER BY score DESC, p.vec_id) <= 30)",
-    "vector AS (SELECT qid, rowid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM question JOIN vbest ON label = qid % 10 WHERE qid IN (SELECT qid FROM bm25 UNION SELECT qid FROM symbols))",
+    "vtext AS (SELECT 'c' AS side, rowid AS id, lower(text) AS low FROM chunk WHERE visible UNION ALL SELECT 'q', qid, lower(text) FROM question)",
+    "vhead AS (SELECT side, id, regexp_replace(substr(low, 1, 1800), '\\s+', ' ', 'g') AS h FROM vtext)",
+    "vfeature AS (SELECT side, id, unnest(list_transform(regexp_extract_all(low, '[a-z_][a-z0-9_]{1,}|[一-鿿]{1,4}'), lambda x: 't:' || x)) AS f FROM vtext UNION ALL SELECT side, id, unnest(list_transform(range(1, length(h) - n + 2), lambda i: 'c:' || substr(h, i, n))) FROM vhead, (VALUES (3), (4), (5)) AS g(n))",
+    "vcode AS (SELECT f, ('0x' || substr(md5(f), 1, 15))::BIGINT AS x FROM (SELECT DISTINCT f FROM vfeature))",
+    "vpart AS MATERIALIZED (SELECT side, id, x % 384 AS k, sum(CASE WHEN x % 2 = 1 THEN -1 ELSE 1 END)::BIGINT AS v FROM vfeature JOIN vcode USING (f) GROUP BY 1, 2, 3)",
+    "vnorm AS (SELECT side, id, sum(v * v)::BIGINT AS n FROM vpart GROUP BY 1, 2)",
+    "vall AS (SELECT q.id AS qid, c.id AS rowid, sum(q.v * c.v)::BIGINT AS dot FROM vpart q JOIN vpart c ON q.side = 'q' AND c.side = 'c' AND c.k = q.k GROUP BY 1, 2)",
+    "vdot AS (SELECT q.id AS qid, c.id AS rowid, q.n * c.n AS nn FROM vnorm q JOIN vnorm c ON q.side = 'q' AND c.side = 'c' AND q.n > 0 AND c.n > 0)",
+    "vbest AS MATERIALIZED (SELECT qid, rowid, round(coalesce(dot, 0) / sqrt(nn), 6) AS score FROM vdot LEFT JOIN vall USING (qid, rowid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) <= 30)",
+    "vector AS (SELECT qid, rowid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS rank FROM vbest WHERE qid IN (SELECT qid FROM bm25 UNION SELECT qid FROM symbols))",
 )
 FUSED = (
     *LANES,
@@ -63,17 +74,22 @@ NONSENSE = "asked AS (SELECT qid FROM question UNION ALL SELECT -1)"
 
 
 class Batch:
-    """The lanes of all questions. What several lanes read, postings of query terms and their scores, is computed once."""
+    """The lanes of all questions. What several lanes read is computed once and written to the shared folder; nothing stays in memory."""
 
     def __init__(self, s: SparkSession, d: str):
         self.s, self.d = s, d
         self.questions = facts.question(s, d)
         self.terms = R.query_terms(self.questions)
-        self.meta = facts.meta(s, d).persist()
-        matched = facts.matched(s, d, self.terms).persist()
-        self.scores = R.bm25_scores(matched, facts.corpus(self.meta), self.terms).persist()
-        self.text = R.bm25(self.scores)
-        self.card = R.card_lane(self.scores, self.meta.where("level = 'A'"))
+        self.meta = written(facts.meta(s, d), "meta")
+        self.weights = written(X.weighted(facts.matched(s, d, self.terms), facts.corpus(self.meta)), "weights")
+        self.search = X.Search(X.blocks(self.weights), self.terms)
+        self.text = written(self.search.best(), "text")
+
+    @cached_property
+    def card(self) -> DataFrame:
+        """The ten best reviewed rows that hold two of a question's terms."""
+        cards = self.weights.join(self.meta.where("level = 'A'").select("rowid"), "rowid", "left_semi")
+        return X.Search(X.blocks(cards), self.terms, keep=10, least=2).best()
 
     def symbols(self) -> DataFrame:
         t = F.slice(terms("text"), 1, facts.NAME_TERMS)
@@ -82,37 +98,37 @@ class Batch:
         return R.symbol_lane(self.meta.where("dl > 0").select("rowid", "name", "file"), names, self.terms)
 
     def vectors(self, symbols: DataFrame) -> DataFrame:
-        """Nearest visible vectors to a question's label mean; empty for a question without a lexical hit."""
-        rows = table(self.s, self.d, "embeddings")
-        shown = rows.join(self.meta.select(F.col("rowid").alias("vec_id")), "vec_id", "left_semi")
-        best = R.vector_lane(shown, R.centroids(rows).select(F.col("label").alias("qid"), F.col("mean").alias("v")))
-        asked = self.questions.select("qid", (F.col("qid") % 10).cast("int").alias("label"))
+        """The visible chunks whose texts are nearest to a question's; none for a question without a lexical hit."""
+        shown = facts.chunk(self.s, self.d).where("visible").select(F.col("rowid").alias("id"), "text")
+        asked = V.hashed(self.questions, "qid", "text", V.md5)
         hit = self.text.select("qid").unionByName(symbols.select("qid")).distinct()
-        return asked.join(hit, "qid", "left_semi").join(best.withColumnRenamed("qid", "label"), "label").select("qid", F.col("vec_id").alias("rowid"), "rank")
+        index = V.InvertedFile(written(V.hashed(shown, "id", "text", V.md5), "vectors"))
+        return index.nearest(asked.join(hit, "qid", "left_semi")).select("qid", F.col("id").alias("rowid"), "rank")
 
     def fused(self) -> tuple[DataFrame, DataFrame]:
         """(symbol lane, fused lanes)."""
-        symbols = self.symbols().persist()
+        symbols = written(self.symbols(), "symbols")
         mode = self.questions.select("qid", F.when(F.col("text").rlike(SYMBOL), 1.5).otherwise(1.0).alias("w"))
         return symbols, R.fuse([(self.text, 1.0), (self.card, 1.0), (self.vectors(symbols), 0.35), (symbols.join(mode, "qid"), F.col("w"))])
 
     def ranked(self) -> DataFrame:
         """Fused rows and what they reach, with features, in order of the weighted sum."""
         symbols, fused = self.fused()
-        fused = fused.persist()
-        links = facts.links(self.s, self.d, self.meta).persist()
-        pool = fused.select("qid", "rowid", "score", F.lit(0).alias("hop")).unionByName(R.expand(fused, links).select("qid", "rowid", "score", "hop"))
+        fused = written(fused, "fused")
+        links = written(facts.links(self.s, self.d, self.meta), "links")
+        pool = written(fused.select("qid", "rowid", "score", F.lit(0).alias("hop")).unionByName(R.expand(fused, links).select("qid", "rowid", "score", "hop")), "pool")
         meta = self.meta.select("rowid", "level", "chars", F.col("file").alias("term"))
         fan = links.groupBy(F.col("dst").alias("rowid")).agg(F.count("*").alias("fan_in"))
         kind = facts.node(self.s, self.d).select(F.col("id").alias("rowid"), "is_definition")
         rows = pool.join(meta, "rowid").join(self.terms.groupBy("qid").agg(F.count("*").alias("n_terms")), "qid")
         rows = rows.join(symbols.select("qid", "rowid", "tier"), ["qid", "rowid"], "left").join(kind, "rowid", "left").join(fan, "rowid", "left")
         rows = rows.join(self.terms.withColumn("named", F.lit(True)), ["qid", "term"], "left").withColumn("file_hit", F.col("named").isNotNull())
-        return R.rerank(rows.join(self.scores.select("qid", "rowid", "hits"), ["qid", "rowid"], "left"))
+        hits = self.search.looked_up(pool.select("qid", "rowid"), self.terms).groupBy("qid", "rowid").agg(F.count("*").alias("hits"))
+        return R.rerank(rows.join(hits, ["qid", "rowid"], "left"))
 
     def final(self) -> DataFrame:
         """The ranking with its reserved slots: two lexical code hits that share a name part, and one leading card."""
-        ranked = self.ranked().select("qid", "rowid", "level", "final", "rank").persist()
+        ranked = written(self.ranked().select("qid", "rowid", "level", "final", "rank"), "ranked")
         part = self.meta.where("dl > 0").select("rowid", F.explode(F.array_distinct(F.split("name", "_"))).alias("term")).where("length(term) >= 2")
         shared = self.terms.join(part, "term").select("qid", "rowid").distinct()
         code = ranked.where("level = 'A'").select("qid", "rowid").join(self.text.select("qid", "rowid", F.col("rank").alias("at")), ["qid", "rowid"])
@@ -167,7 +183,7 @@ def rrf_fusion(s, d):
 def graph_heads(s, d):
     """What the eight best fused rows reach in two hops of either direction."""
     batch = Batch(s, d)
-    return R.expand(batch.fused()[1].persist(), facts.links(s, d, batch.meta))
+    return R.expand(written(batch.fused()[1], "fused"), facts.links(s, d, batch.meta))
 
 
 @query("feature_rerank", oracle("SELECT qid, rowid, level, final, rank FROM reranked", *RANKED))

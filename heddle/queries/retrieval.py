@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import terms, tokens_by_bytes, tokens_by_script
+from heddle.operators import evidence as E
 from heddle.operators import graph as G
 from heddle.operators import lexical as X
 from heddle.operators import ranking as K
@@ -229,13 +230,65 @@ def heads_budget_prefix(s, d):
     return K.prefix_within(sized, "qid", ["rank"], "cost", 4000).select("qid", "rowid", "used")
 
 
-@query("evidence_first_fit")
+SIZED = "sized AS (SELECT f.qid, f.rowid, f.rank, (strlen(c.text) + 2) // 3 AS cost FROM final f JOIN chunk c ON c.rowid = f.rowid)"
+FIT = "fit AS (SELECT qid, rowid, rank, CASE WHEN cost <= 4000 THEN cost ELSE 0 END AS used, cost <= 4000 AS kept FROM sized WHERE rank = 1 UNION ALL SELECT s.qid, s.rowid, s.rank, CASE WHEN f.used + s.cost <= 4000 THEN f.used + s.cost ELSE f.used END, f.used + s.cost <= 4000 FROM fit f JOIN sized s ON s.qid = f.qid AND s.rank = f.rank + 1)"
+
+
+@query("evidence_first_fit", oracle("SELECT qid, rowid FROM fit WHERE kept", *FINAL, SIZED, FIT))
 def evidence_first_fit(s, d):
     """Chunks that fit 4000 tokens in rank order, those too large skipped."""
     sized = final(s, d).join(facts.chunk(s, d).select("rowid", tokens_by_bytes("text").alias("cost")), "rowid")
     return K.first_fit(sized, "qid", "rank", "cost", "rowid", 4000)
 
 
+HEAD_CHARS = 400
+CJK = "length(regexp_replace({0}, '[^一-鿿]', '', 'g'))"
+TOKENS = "(floor(" + CJK + " / 1.5 + (length({0}) - " + CJK + ") / 4) + 1)::BIGINT"
+ASSEMBLED = (
+    *FUSED, *HEADS,
+    "shown AS MATERIALIZED (SELECT rowid, level, CASE level WHEN 'A' THEN 'code' WHEN 'B' THEN 'experience' ELSE 'wiki' END AS bucket, substr(text, 1, 2400) AS t, substr(text, 1, 400) AS h FROM chunk WHERE visible)",
+    f"cand AS MATERIALIZED (SELECT qid, f.rowid, bucket, level, score, rank, row_number() OVER (PARTITION BY qid, bucket ORDER BY rank) AS n, {TOKENS.format('t')} AS cost, CASE bucket WHEN 'code' THEN 3200 WHEN 'experience' THEN 1600 ELSE 1200 END AS cap FROM fused f JOIN shown s ON s.rowid = f.rowid)",
+    "walk AS (SELECT qid, bucket, rowid, level, score, n, CASE WHEN cost <= cap THEN cost ELSE 0 END AS used, cost <= cap AS kept FROM cand WHERE n = 1 UNION ALL SELECT c.qid, c.bucket, c.rowid, c.level, c.score, c.n, CASE WHEN w.used + c.cost <= c.cap THEN w.used + c.cost ELSE w.used END, w.used + c.cost <= c.cap FROM walk w JOIN cand c ON c.qid = w.qid AND c.bucket = w.bucket AND c.n = w.n + 1)",
+    f"above AS (SELECT h.qid, h.rowid, h.score, row_number() OVER w AS n, sum({TOKENS.format('h')}) OVER w AS used FROM heads h JOIN shown s ON s.rowid = h.rowid WINDOW w AS (PARTITION BY h.qid ORDER BY h.score DESC, h.rowid ROWS UNBOUNDED PRECEDING))",
+    "cited AS (SELECT qid, rowid, bucket, level, n, floor(score * 1e5::DOUBLE + 0.5::DOUBLE) / 1e5::DOUBLE AS score FROM walk WHERE kept UNION ALL SELECT qid, rowid, 'head', 'A', n, floor(score * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE FROM above WHERE used <= 2000)",
+    "evidence AS MATERIALIZED (SELECT qid, rowid, bucket, level, row_number() OVER (PARTITION BY qid, bucket ORDER BY n) AS place, score, level || row_number() OVER (PARTITION BY qid, level ORDER BY score DESC, rowid::VARCHAR, bucket) AS tag FROM cited)",
+)
+
+
+def assembled(batch: Batch) -> tuple[DataFrame, DataFrame]:
+    """(evidence of all questions, texts of chunks)."""
+    fused = written(batch.fused()[1], "fused")
+    heads = R.expand(fused, facts.links(batch.s, batch.d, batch.meta))
+    texts = facts.chunk(batch.s, batch.d).where("visible").select("rowid", "level", F.substring("text", 1, E.SHOWN_CHARS).alias("text"), F.substring("text", 1, HEAD_CHARS).alias("head"))
+    sized = texts.select("rowid", "level", tokens_by_script("text").alias("cost"), tokens_by_script("head").alias("head_cost"))
+    bucket = F.when(F.col("level") == "A", "code").when(F.col("level") == "B", "experience").otherwise("wiki")
+    rows = fused.join(sized, "rowid").select("qid", "rowid", F.col("rowid").alias("node"), bucket.alias("bucket"), "level", "rank", "score", "cost")
+    ranked = K.top(heads.join(sized, "rowid"), "qid", [F.desc("score"), "rowid"]).select("qid", "rowid", F.col("rowid").alias("node"), "rank", "score", F.col("head_cost").alias("cost"))
+    return E.assemble(rows, ranked), texts
+
+
+@query("evidence_assembly", oracle("SELECT qid, rowid, bucket, level, place, score, tag FROM evidence", *ASSEMBLED))
+def evidence_assembly(s, d):
+    """Evidence of all questions within 8,000 tokens: source, cards and background first-fit, heads up to the first that overflows."""
+    return assembled(Batch(s, d))[0]
+
+
+LABEL_SQL = "CASE e.bucket " + " ".join(f"WHEN '{b}' THEN '{t}'" for b, t in E.LABELS.items()) + " END"
+PLACE_SQL = "CASE e.bucket " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(E.LABELS)) + " END"
+
+
+@query("context_rendering", oracle(
+    "SELECT qid, length(context) AS n_chars, md5(context) AS digest FROM (SELECT qid, string_agg(part, chr(10) || chr(10) ORDER BY o) AS context FROM bucketed GROUP BY 1)", *ASSEMBLED,
+    f"bucketed AS (SELECT qid, {PLACE_SQL} AS o, '===== ' || {LABEL_SQL} || ' =====' || chr(10) || chr(10) || string_agg('[' || tag || '] ' || m.name || '  (unversioned@unversioned ' || m.path || ')' || chr(10) || CASE e.bucket WHEN 'head' THEN h ELSE t END, chr(10) || chr(10) ORDER BY place) AS part FROM evidence e JOIN shown s ON s.rowid = e.rowid JOIN symbol m ON m.rowid = e.rowid GROUP BY qid, e.bucket)"))
+def context_rendering(s, d):
+    """Each question's context as one text, as digest."""
+    batch = Batch(s, d)
+    evidence, texts = assembled(batch)
+    named = batch.meta.where("dl > 0").select("rowid", F.col("name").alias("title"), F.col("path").alias("location"))
+    rendered = E.render(evidence, texts.drop("level").join(named, "rowid"))
+    return rendered.select("qid", F.length("context").cast("bigint").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
 @query("vector_top30", oracle(
     "SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 30",
     "part AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)",

@@ -11,7 +11,7 @@ from heddle.operators.graph import dedup_edges
 def fingerprints(rows: DataFrame, key: str, content: list[str]) -> DataFrame:
     """key, fingerprint: order-free hash of a key's rows; partial sums, so no row list is gathered."""
     h = F.xxhash64(*content)
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("a"), F.bit_xor(h).alias("b")).select(key, F.sha1(F.concat_ws("|", "n", "a", "b").cast("binary")).alias("fingerprint"))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.pmod(h, F.lit(1 << 40)).cast("decimal(20,0)")).alias("a"), F.bit_xor(h).alias("b")).select(key, F.sha1(F.concat_ws("|", "n", F.col("a").cast("string"), "b").cast("binary")).alias("fingerprint"))
 
 
 def plan(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

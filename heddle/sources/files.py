@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,7 +144,8 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, version: str) -> Dat
 def checksum(df: DataFrame) -> DataFrame:
     """rows, checksum of a table, whatever its order."""
     h = F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("checksum"))
+    total = F.sum(F.pmod(h, F.lit(1 << 40)).cast("decimal(20,0)")) % F.lit(1 << 62).cast("decimal(20,0)")  # equal rows cancel in the other part, not here
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(h).bitwiseXOR(total.cast("bigint")), F.lit(0)).alias("checksum"))
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str, name: str, verify: bool = False) -> DataFrame:
@@ -158,17 +158,28 @@ def read_snapshot(spark: SparkSession, root: str, version: str, name: str, verif
     return df
 
 
+def pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the pointers whose writing ended, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_active")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    exists = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_active/{n}/_SUCCESS"))
+    return sorted(int(n[2:]) for n in names if n.startswith("n=") and exists(n))
+
+
 def set_pointer(spark: SparkSession, root: str, version: str | None, previous: str | None) -> None:
-    spark.createDataFrame([(version, previous)], "version string, previous string").coalesce(1).write.mode("overwrite").json(f"{root}/_active")
+    """A further pointer beside the earlier ones: readers take the last complete one, so there is one at any time."""
+    number = max(pointers(spark, root), default=-1) + 1
+    spark.createDataFrame([(version, previous)], "version string, previous string").coalesce(1).write.json(f"{root}/_active/n={number:08d}")
 
 
 def active(spark: SparkSession, root: str) -> tuple[str | None, str | None]:
     """(active version, the one before it), nulls where none was activated."""
-    try:
-        row = spark.read.schema("version string, previous string").json(f"{root}/_active").first()
-    except AnalysisException:
+    known = pointers(spark, root)
+    if not known:
         return None, None
-    return (row["version"], row["previous"]) if row else (None, None)
+    row = spark.read.schema("version string, previous string").json(f"{root}/_active/n={known[-1]:08d}").first()
+    return row["version"], row["previous"]
 
 
 def activate(spark: SparkSession, root: str, version: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from heddle.operators.graph import dedup_edges
+
 
 def tumbling(events: DataFrame, size: str = "5 minutes") -> DataFrame:
     """start, event_type, n, total for windows of `size`; the same on a batch and on a stream."""
@@ -18,9 +20,24 @@ def stream_tumbling(events: DataFrame, size: str = "5 minutes", late: str = "10
     return tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), size)
 
 
+def store_batch(edges_path: str, batch: DataFrame, number: int) -> None:
+    """Observations of one batch in a folder of their own: the same batch again replaces itself."""
+    batch.select("tu", "src", "dst", "confidence").write.mode("overwrite").parquet(f"{edges_path}/batch={number}")
+
+
 def observations_to(edges_path: str, observed: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Appends batches of observations (tu, src, dst, confidence) to `edges_path`; re-read units replace on read by `refresh`."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(edges_path)
+    """Keeps batches of observations (tu, src, dst, confidence) in `edges_path`; a unit that was read without any edge sends one row without src."""
+    return observed.writeStream.foreachBatch(lambda batch, number: store_batch(edges_path, batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_observations(spark: SparkSession, edges_path: str) -> DataFrame:
+    """tu, src, dst, confidence as of now: a unit's last batch counts, what earlier ones saw of it is withdrawn."""
+    schema = "tu bigint, src bigint, dst bigint, confidence string, batch bigint"
+    rows = spark.read.schema(schema).option("basePath", edges_path).parquet(edges_path)
+    last = rows.groupBy("tu").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["tu", "batch"], "left_semi").where("src is not null").select("tu", "src", "dst", "confidence")
+
 
-    return observed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_edges(spark: SparkSession, edges_path: str) -> DataFrame:
+    """Logical edges of the current observations; an edge goes with its last one."""
+    return dedup_edges(current_observations(spark, edges_path))

@@ -16,8 +16,6 @@ centre's. What is then still mixed is left to the operator's own way of comparin
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,17 +104,24 @@ def classes(held: DataFrame, verified: Callable[[DataFrame], DataFrame], rest: C
     sizes = held.groupBy("key").agg(F.count("*").alias("m"))
     met = held.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("met"))
     now = materialize(held.join(met, "id").withColumn("comp", F.col("id")), "met")
-    links, old = [], [now]
+    found, old = None, [now]
+
+    def joined(links: DataFrame, name: str) -> DataFrame:
+        """Components of all links so far: the last components stand for the links behind them."""
+        links = materialize(links, "links")
+        every = links if found is None else links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        out = components(every, name)
+        discard(links, *([] if found is None else [found]))
+        return out
+
     for turn in range(ROUNDS):
-        links.append(materialize(verified(star(now, turn)), "links"))
-        found = components(reduce(DataFrame.unionByName, links), "stars")
+        found = joined(verified(star(now, turn)), "stars")
         now = materialize(mixed(with_component(now.select("key", "id", "met"), found)), "mixed")
         discard(*old)
-        old = [found, now]
+        old = [now]
         if now.isEmpty():
-            discard(now, *links)
+            discard(now)
             return found
-    links.append(materialize(rest(now), "links"))
-    found = components(reduce(DataFrame.unionByName, links), "classes")
-    discard(*old, *links)
+    found = joined(rest(now), "classes")
+    discard(*old)
     return found

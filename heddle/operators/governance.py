@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 # Patterns of secrets, roles, public licences and the size limit of a session's messages.
 SECRETS = {
-    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "key": r"\b(?:sk|rk|pk)_[A-Za-z0-9_-]{16,}\b",
     "password": r"(?i)\b(?:password|secret|token)\s*[:=]\s*\S+",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
 }
 ROLES = ("user", "assistant", "developer", "reviewer", "tool")
 KNOWLEDGE_ROLES = ("symptom", "hypothesis", "dead_end", "evidence", "root_cause", "fix", "verification")
 PUBLIC_SOURCE = "public_synthetic"
 LICENSES = ("CC0-1.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0")
-REPRODUCIBLE = r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b|\b[A-Za-z][A-Za-z0-9_]+\s*\("
-VERIFIED = r"(?i)verify|reproduc|test|check"
+REPRODUCIBLE = r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b|\b[A-Za-z][A-Za-z0-9_]+\s*\(|输入|复现|调用|定义|失败|返回"
+MISSING = r"(?:没有|缺少|未提供|无法提供).{0,24}(?:函数|符号|输入|复现|版本|抓包|配置)"
+VERIFIED = r"(?i)验证|复现|测试|核对|检查|查看|verify|reproduc|test|check"
 MOST_CHARS = 6000
 
 
@@ -39,7 +40,7 @@ def message_fault(role: Column, content: Column, knowledge_role: Column | None =
 
 
 def session_gate(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """session, seven checks, failed (their names), eligible.
+    """session, seven checks, failed (their names), eligible. An input counts only where the user doesn't say that one is missing.
 
     `sessions`: session, source_type, license, revision; `messages`: session, role, text. What
     can be decided for single messages is decided there, so no session's texts are gathered.
@@ -47,7 +48,7 @@ def session_gate(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     some = lambda c: F.coalesce(F.max(F.when(c, 1).otherwise(0)), F.lit(0)) == 1
     user = F.col("role") == "user"
     said = messages.groupBy("session").agg(
-        some(user & F.col("text").rlike(REPRODUCIBLE)).alias("reproducible_input"), some(F.col("text").rlike(VERIFIED)).alias("verification_signal"),
+        (some(user & F.col("text").rlike(REPRODUCIBLE)) & ~some(user & F.col("text").rlike(MISSING))).alias("reproducible_input"), some(F.col("text").rlike(VERIFIED)).alias("verification_signal"),
         ((F.count("*") >= 2) & some(F.col("role").isin(*ROLES[1:]))).alias("message_structure"), (~some(secret_kinds("text") != "")).alias("sensitive_scan"),
     )
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)

@@ -13,6 +13,23 @@ def top(rows: DataFrame, key: str | list[str], order: list, keep: int | None = N
     return ranked if keep is None else ranked.where(F.col(name) <= keep)
 
 
+def numbered(rows: DataFrame, order: list, key: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """The rank that `top` gives, but no task holds all rows of a key: a sort by ranges, and the sizes of a key's earlier ranges.
+
+    The sorted rows are written once, so that places and sizes come from the same partitions. Without `key` the rank is over all rows.
+    """
+    from heddle.operators.fixpoint import written
+
+    key = list(key or [])
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the place below
+    ordered = written(rows.orderBy(*key, *order).withColumn("_at", at), "ordered").withColumn("_part", F.shiftright("_at", 33))
+    runs = ordered.groupBy(*key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # a row a key and range
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    placed = ordered.join(runs.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("_part").alias("_p"), "_first", "_before"), F.expr(" and ".join(["_part = _p", *(f"`{k}` <=> `_{k}`" for k in key)])))
+    return placed.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*rows.columns, name)
+
+
 def small(rows: DataFrame, most: int = 200_000) -> DataFrame:
     """`rows`, to be broadcast if a count shows that they are few; otherwise joined like any table."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
@@ -44,8 +61,8 @@ def first_fit(rows: DataFrame, key: str, order: str, cost: str, item: str, budge
 
 
 def round_robin(rows: DataFrame, group: str, order: list) -> DataFrame:
-    """`turn`: the row's number within its group; sorting by (turn, group) interleaves the groups."""
-    return top(rows, group, order, name="turn")
+    """`turn`: the row's number within its group, which may hold any share of all rows; sorting by (turn, group) interleaves the groups."""
+    return numbered(rows, order, [group], "turn")
 
 
 def text_windows(rows: DataFrame, id_col: str, text_col: str, size: int = 90, stride: int = 60) -> DataFrame:

@@ -44,14 +44,21 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("mean"))
 
 
+QUERY_BLOCK = 64
+
+
 def vector_lane(vectors: DataFrame, queries: DataFrame, keep: int = 30) -> DataFrame:
-    """qid, vec_id, score, rank by inner product of the rows of `vectors`, which are the visible ones.
+    """qid, vec_id, score, rank by inner product of the rows of `vectors`, which are the visible ones: the exact lane.
 
-    `queries` (qid, v) is a batch of vectors; a block of `vectors` keeps its own best `keep`
-    of each query before anything is shuffled (WindowGroupLimit).
+    `queries` (qid, v) are packed into blocks of QUERY_BLOCK; every vector meets every block by an equality of block numbers, and
+    keeps only what can be among a query's best `keep` of its task before anything is shuffled (WindowGroupLimit). For large tables see `vectors.InvertedFile`.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    scored = queries.join(rows, F.lit(True)).select("qid", "vec_id", F.round(dot("e", "v"), 6).alias("score"))
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    packs = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("qid", "v")).alias("pack"))
+    copies = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = copies.join(small(packs, 2_000), "block").select("vec_id", "e", F.inline("pack"))
+    scored = met.select("qid", "vec_id", F.round(dot("e", "v"), 6).alias("score"))
     return top(scored, "qid", [F.desc("score"), "vec_id"], keep)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.text import short_id
 from heddle.operators import contracts as C
-from heddle.operators.ranking import top
+from heddle.operators.ranking import numbered
 from heddle.plans import facts
 from heddle.plans.facts import oracle
 from heddle.registry import query
@@ -124,15 +124,12 @@ def smoke_gate(s, d):
     return rows.withColumn("passes", (F.col("errors") <= 0.25 * F.col("n")) & (F.col("kinds") >= 4))
 
 
-@query("paired_schedule", oracle("SELECT task, arm, row_number() OVER (ORDER BY md5('17|' || task), task, md5('17|' || task || '|' || arm), arm) AS position FROM (SELECT DISTINCT task, arm FROM trial WHERE task % 25 = 0)"))
+@query("paired_schedule", oracle("SELECT task, arm, row_number() OVER (ORDER BY md5('17|' || task), task, md5('17|' || task || '|' || arm), arm) AS position FROM (SELECT DISTINCT task, arm FROM trial)"))
 def paired_schedule(s, d):
-    """Tasks in a fixed random order, arms in another within each, of every 25th task."""
-    rows = facts.trial(s, d).where("task % 25 = 0").select("task", "arm").distinct()
+    """All tasks in a fixed random order, arms in another within each."""
     h = lambda *c: F.md5(F.concat_ws("|", F.lit("17"), *c).cast("binary"))
-    in_task = top(rows, "task", [h(F.col("task").cast("string"), "arm"), "arm"], name="turn")
-    per = in_task.groupBy("task").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(h(F.col("task").cast("string")), "task").rowsBetween(Window.unboundedPreceding, -1))
-    return in_task.join(per.withColumn("before", F.coalesce(before, F.lit(0))), "task").select("task", "arm", (F.col("before") + F.col("turn")).alias("position"))
+    rows = facts.trial(s, d).select("task", "arm").distinct().withColumn("by_task", h(F.col("task").cast("string"))).withColumn("by_arm", h(F.col("task").cast("string"), "arm"))
+    return numbered(rows, ["by_task", "task", "by_arm", "arm"], name="position").select("task", "arm", "position")
 
 
 @query("question_generation", oracle(
@@ -152,7 +149,7 @@ def question_generation(s, d):
 def nulls_last(s, d):
     """Pages by a parameter that not all have; those without come last."""
     rows = table(s, d, "pages").select("page_id", F.nullif(F.regexp_extract("url", "page=([0-9]+)", 1), F.lit("")).alias("ref"))
-    return top(rows.withColumn("all", F.lit(1)), "all", [F.desc_nulls_last("ref"), "page_id"]).select("page_id", "rank")
+    return numbered(rows, [F.desc_nulls_last("ref"), "page_id"]).select("page_id", "rank")
 
 
 @query("outline_greedy", oracle(
@@ -165,11 +162,11 @@ def outline_greedy(s, d):
     return C.greedy_pages(rows, "host", "page_id", "size", 40000)
 
 
-@query("token_normalisation", oracle("SELECT page_id, len(t) AS n_tokens, sha256(array_to_string(t, ' ')) AS fingerprint FROM (SELECT page_id, list_filter(regexp_extract_all(regexp_extract(html, '<script>(.*?)</script>', 1), '" + C.TOKEN.replace("'", "''") + "'), lambda x: NOT starts_with(x, '//') AND NOT starts_with(x, '/*')) AS t FROM pages)"))
+@query("token_normalisation", oracle("SELECT page_id, len(t) AS n_tokens, sha256(array_to_string(t, ' ')) AS fingerprint FROM (SELECT page_id, list_filter(regexp_extract_all(array_to_string(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's'), chr(10)), '" + C.TOKEN.replace("'", "''") + "'), lambda x: NOT starts_with(x, '//') AND NOT starts_with(x, '/*')) AS t FROM pages)"))
 def token_normalisation(s, d):
-    """Tokens of each page's first script, hashed without white space and comments."""
-    script = F.regexp_extract("html", "<script>(.*?)</script>", 1)
-    rows = table(s, d, "pages").select("page_id", C.normal_tokens(script).alias("t"))
+    """Tokens of all of a page's scripts, hashed without white space and comments."""
+    scripts = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1)), "\n")
+    rows = table(s, d, "pages").select("page_id", C.normal_tokens(scripts).alias("t"))
     return rows.select("page_id", F.size("t").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("fingerprint"))
 
 

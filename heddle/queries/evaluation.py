@@ -46,9 +46,13 @@ def retrieval_percentiles(s, d):
 @query("p95_variants", oracle(
     "SELECT event_type, v[greatest(1, ceil(0.95 * len(v)))::BIGINT] AS nearest, v[(ceil((len(v) - 1) * 0.95) + 1)::BIGINT] AS linear FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)"))
 def p95_variants(s, d):
-    v = table(s, d, "events").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    linear = F.element_at("v", (F.ceil((F.size("v") - 1) * F.lit(0.95)) + 1).cast("int"))
-    return v.select("event_type", E.nearest_rank(F.col("v"), 0.95).alias("nearest"), linear.alias("linear"))
+    """The value at position ceil(0.95 n), and the one that linear interpolation ends at, both by rank: no list of values is built."""
+    rows = K.numbered(table(s, d, "events").where("value is not null").select("event_type", "value"), ["value"], ["event_type"])
+    n = rows.groupBy("event_type").agg(F.max("rank").alias("n"))
+    nearest = F.greatest(F.lit(1), F.ceil(F.lit(0.95) * F.col("n")))
+    linear = F.ceil((F.col("n") - 1) * F.lit(0.95)) + 1
+    at = lambda place: F.max(F.when(F.col("rank") == place, F.col("value")))
+    return rows.join(F.broadcast(n), "event_type").groupBy("event_type").agg(at(nearest).alias("nearest"), at(linear).alias("linear"))  # n: a row a type of event
 
 
 SETS = ("predicted AS (SELECT DISTINCT user_id AS k, event_type AS item FROM events WHERE value >= 50)", "gold AS (SELECT DISTINCT user_id AS k, event_type AS item FROM events WHERE value < 80)")

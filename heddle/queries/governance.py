@@ -53,14 +53,20 @@ def header(s, d):
         F.when(k % 7 == 0, "unversioned").otherwise(F.md5(k.cast("string").cast("binary")).substr(F.lit(1), (k % 3 + 6).cast("int"))).alias("revision"))
 
 
+SAID = "SELECT conv_id, role, CASE turn % 7 WHEN 3 THEN text || ' 没有提供输入' WHEN 5 THEN '请复现: ' || text ELSE text END AS text FROM conversations"
+
+
 @query("session_gate", oracle(
     "SELECT session, " + ", ".join(CHECKS) + ", array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {c} THEN '{c}' END" for c in CHECKS) + "], lambda x: x IS NOT NULL), ',') AS failed, " + " AND ".join(CHECKS) + " AS eligible FROM checked",
     HEADER,
-    f"said AS (SELECT conv_id, bool_or(role = 'user' AND regexp_matches(text, '{V.REPRODUCIBLE}')) AS reproducible_input, bool_or(regexp_matches(text, '{V.VERIFIED}')) AS verification_signal, count(*) >= 2 AND bool_or(role IN {LIST(V.ROLES[1:])}) AS message_structure, NOT bool_or({SECRET}) AS sensitive_scan FROM conversations GROUP BY 1)",
+    f"turns AS ({SAID})",
+    f"said AS (SELECT conv_id, bool_or(role = 'user' AND regexp_matches(text, '{V.REPRODUCIBLE}')) AND NOT bool_or(role = 'user' AND regexp_matches(text, '{V.MISSING}')) AS reproducible_input, bool_or(regexp_matches(text, '{V.VERIFIED}')) AS verification_signal, count(*) >= 2 AND bool_or(role IN {LIST(V.ROLES[1:])}) AS message_structure, NOT bool_or({SECRET}) AS sensitive_scan FROM turns GROUP BY 1)",
     f"checked AS (SELECT session, source_type = 'public_synthetic' AS public_source, coalesce(license IN {LIST(V.LICENSES)}, false) AS public_license, revision <> 'unversioned' AND length(revision) >= 7 AS fixed_revision, reproducible_input, verification_signal, message_structure, sensitive_scan FROM header JOIN said ON conv_id = session)"))
 def session_gate(s, d):
-    """Seven checks of every session, with a header made of its number."""
-    return V.session_gate(header(s, d), table(s, d, "conversations").select(F.col("conv_id").alias("session"), "role", "text"))
+    """Seven checks of every session, with a header made of its number; some turns say that an input is missing, some ask for a reproduction."""
+    k = F.col("turn") % 7
+    said = F.when(k == 3, F.concat("text", F.lit(" 没有提供输入"))).when(k == 5, F.concat(F.lit("请复现: "), "text")).otherwise(F.col("text"))
+    return V.session_gate(header(s, d), table(s, d, "conversations").select(F.col("conv_id").alias("session"), "role", said.alias("text")))
 
 
 @query("message_validation", oracle(f"SELECT conv_id, turn, CASE WHEN role NOT IN {LIST(V.ROLES)} THEN 'role' WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 6000 THEN 'too_long' WHEN {SECRET} THEN 'secret' END AS fault FROM conversations"))

@@ -365,10 +365,11 @@ def required_sections(s, d):
     "SELECT a.doc_id, a.start AS citation, b.start AS anchor FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.start < b.start AND b.start < a.start + a.n",
     "w AS (SELECT doc_id, unnest(range(0, n_chars, 60)) AS start, 90 AS n FROM documents)"))
 def citation_overlap(s, d):
-    """Overlapping ranges of the same text: an equi join with a range condition."""
+    """Overlapping ranges of the same text: a range offers the cells it touches to the starts in them, so rows follow the overlaps."""
     w = table(s, d, "documents").where("n_chars > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chars") - 1, F.lit(60).cast("bigint"))).alias("start"))
-    later = w.withColumnRenamed("start", "anchor")
-    return w.withColumnRenamed("start", "citation").join(later, "doc_id").where("citation < anchor and anchor < citation + 90")
+    later = w.select("doc_id", F.col("start").alias("anchor"), F.floor(F.col("start") / 90).alias("cell"))
+    held = w.select("doc_id", F.col("start").alias("citation"), F.explode(F.sequence(F.floor(F.col("start") / 90), F.floor((F.col("start") + 89) / 90))).alias("cell"))
+    return held.join(later, ["doc_id", "cell"]).where("citation < anchor and anchor < citation + 90").select("doc_id", "citation", "anchor")
 
 
 @query("line_coverage_gap", oracle(

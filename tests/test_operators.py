@@ -137,3 +137,23 @@ def test_fingerprint_ignores_row_order(spark, swap):
     data = [("a", "1"), ("a", "2"), ("b", "1")]
     df = spark.createDataFrame(data[::-1] if swap else data, "k string, v string").repartition(3)
     assert len({r.fingerprint for r in I.fingerprints(df, "k", ["v"]).collect()}) == 2
+
+
+@pytest.mark.parametrize("key", [None, ["k"]])
+def test_numbered_over_many_ranges(spark, key):
+    from pyspark.sql import functions as F
+
+    from heddle.operators import ranking as K
+
+    data = [(None if i % 11 == 0 else i % 3, (i * 37) % 101, i) for i in range(400)]
+    df = spark.createDataFrame(data, "k int, v int, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = K.numbered(df, [F.desc("v"), "i"], key).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = {}
+    for k, v, i in data:
+        groups.setdefault(k if key else 0, []).append((-v, i))
+    want = {i: n for g in groups.values() for n, (_, i) in enumerate(sorted(g), 1)}
+    assert {r.i: r["rank"] for r in got} == want and len(got) == 400

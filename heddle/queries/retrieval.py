@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import terms, tokens_by_bytes, tokens_by_script
+from heddle.operators import evaluation as V_
 from heddle.operators import evidence as E
 from heddle.operators import graph as G
 from heddle.operators import lexical as X
@@ -114,6 +115,10 @@ class Batch:
 
     def ranked(self) -> DataFrame:
         """Fused rows and what they reach, with features, in order of the weighted sum."""
+        return self.pooled()[1]
+
+    def pooled(self) -> tuple[DataFrame, DataFrame]:
+        """(fused rows and what they reach, the same with features in order of the weighted sum)."""
         symbols, fused = self.fused()
         fused = written(fused, "fused")
         links = written(facts.links(self.s, self.d, self.meta), "links")
@@ -125,7 +130,7 @@ class Batch:
         rows = rows.join(symbols.select("qid", "rowid", "tier"), ["qid", "rowid"], "left").join(kind, "rowid", "left").join(fan, "rowid", "left")
         rows = rows.join(self.terms.withColumn("named", F.lit(True)), ["qid", "term"], "left").withColumn("file_hit", F.col("named").isNotNull())
         hits = self.search.looked_up(pool.select("qid", "rowid"), self.terms).groupBy("qid", "rowid").agg(F.count("*").alias("hits"))
-        return R.rerank(rows.join(hits, ["qid", "rowid"], "left"))
+        return pool, R.rerank(rows.join(hits, ["qid", "rowid"], "left"))
 
     def final(self) -> DataFrame:
         """The ranking with its reserved slots: two lexical code hits that share a name part, and one leading card."""
@@ -380,3 +385,56 @@ def line_coverage_gap(s, d):
     lines = table(s, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), size - 1)).alias("ln"))
     ranges = table(s, d, "documents").select("doc_id", F.floor(size / 2).alias("half"))
     return lines.join(ranges, (lines["doc_id"] == ranges["doc_id"]) & (F.col("ln") < F.col("half")), "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_gap"))
+
+
+CONFIGS = ("c1_bm25", "c2_symbol", "c3_vector", "c4_body", "c5_head", "c6_rerank")
+MODE = f"CASE WHEN regexp_matches(q.text, '{SYMBOL}') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (60 + s.rank)"
+ABLATION = (
+    *RANKED,
+    "p1 AS (SELECT qid, rowid, 1.0::DOUBLE / (60 + rank) AS part FROM bm25)", f"p2 AS (SELECT s.qid, s.rowid, {MODE} AS part FROM symbols s JOIN question q ON q.qid = s.qid)", "p3 AS (SELECT qid, rowid, 0.35::DOUBLE / (60 + rank) AS part FROM vector)",
+    "fs AS (SELECT 'c1_bm25' AS config, qid, rowid, round(sum(part), 6) AS score FROM p1 GROUP BY ALL UNION ALL SELECT 'c2_symbol', qid, rowid, round(sum(part), 6) FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY ALL UNION ALL SELECT 'c3_vector', qid, rowid, round(sum(part), 6) FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY ALL)",
+    f"size AS MATERIALIZED (SELECT rowid, {TOKENS.format('substr(text, 1, 2400)')} AS body, {TOKENS.format('substr(text, 1, 400)')} AS head FROM chunk WHERE visible)",
+    "rows_ AS (SELECT config, qid, rowid, score, 0 AS hop FROM fs UNION ALL SELECT c, qid, rowid, score, hop FROM pool, (VALUES ('c4_body'), ('c5_head')) AS v(c) UNION ALL SELECT 'c6_rerank', r.qid, r.rowid, r.final, p.hop FROM reranked r JOIN pool p ON p.qid = r.qid AND p.rowid = r.rowid)",
+    "placed AS MATERIALIZED (SELECT config, qid, r.rowid, CASE WHEN hop > 0 AND config <> 'c4_body' THEN head ELSE body END AS cost, row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, r.rowid) AS rank FROM rows_ r JOIN size z ON z.rowid = r.rowid)",
+    "gold AS MATERIALIZED (SELECT s.qid, s.rowid FROM scores s JOIN wanted w ON w.qid = s.qid AND s.hits >= least(w.n_terms, 9))",
+    "judged AS (SELECT c.config, g.qid, CASE WHEN regexp_matches(q.text, '{SYMBOL}') THEN 'symbol' ELSE 'text_' || q.qid % 2 END AS type, coalesce(hits, 0) / least(n_gold, 10) AS r, coalesce(1 / first, 0) AS m, coalesce(spent, 0) AS c FROM (SELECT qid, count(*) AS n_gold FROM gold GROUP BY 1) g JOIN question q ON q.qid = g.qid CROSS JOIN (SELECT DISTINCT config FROM placed) c".replace("{SYMBOL}", SYMBOL)
+    + " LEFT JOIN (SELECT config, p.qid, count(*) AS hits, min(rank) AS first FROM placed p JOIN gold o ON o.qid = p.qid AND o.rowid = p.rowid WHERE rank <= 10 GROUP BY 1, 2) h ON h.config = c.config AND h.qid = g.qid LEFT JOIN (SELECT config, qid, sum(cost) AS spent FROM placed WHERE rank <= 10 GROUP BY 1, 2) z ON z.config = c.config AND z.qid = g.qid)",
+    "ablated AS MATERIALIZED (SELECT type, config, count(*) AS n, round(avg(r), 6) AS recall, round(avg(m), 6) AS mrr, round(avg(c), 4) AS context FROM (SELECT * FROM judged UNION ALL SELECT config, qid, 'all', r, m, c FROM judged) GROUP BY 1, 2)",
+)
+
+
+def ablated(s: SparkSession, d: str) -> DataFrame:
+    """Six configurations over all questions: lanes added one by one, neighbours with their bodies or heads, then the reranker.
+
+    A question's gold are the rows that hold all of its terms (nine, if it has more).
+    """
+    batch = Batch(s, d)
+    symbols = written(batch.symbols(), "symbols")
+    text = batch.text
+    mode = batch.questions.select("qid", F.when(F.col("text").rlike(SYMBOL), 1.5).otherwise(1.0).alias("w"))
+    lanes = [(text, 1.0), (symbols.join(mode, "qid"), F.col("w")), (written(batch.vectors(symbols), "vector"), 0.35)]
+    steps = [R.fuse(lanes[: k + 1]).select(F.lit(CONFIGS[k]).alias("config"), "qid", "rowid", "score", F.lit(0).alias("hop")) for k in range(3)]
+    pool, ranked = batch.pooled()
+    both = pool.select(F.explode(F.array(F.lit(CONFIGS[3]), F.lit(CONFIGS[4]))).alias("config"), "qid", "rowid", "score", "hop")
+    last = ranked.join(pool.select("qid", "rowid", "hop"), ["qid", "rowid"]).select(F.lit(CONFIGS[5]).alias("config"), "qid", "rowid", F.col("final").alias("score"), "hop")
+    rows = steps[0].unionByName(steps[1]).unionByName(steps[2]).unionByName(both).unionByName(last)
+    sizes = facts.chunk(s, d).where("visible").select("rowid", tokens_by_script(F.substring("text", 1, E.SHOWN_CHARS)).alias("body"), tokens_by_script(F.substring("text", 1, HEAD_CHARS)).alias("head"))
+    short = (F.col("hop") > 0) & (F.col("config") != CONFIGS[3])
+    placed = K.top(rows, ["config", "qid"], [F.desc("score"), "rowid"], 10).join(sizes, "rowid").withColumn("cost", F.when(short, F.col("head")).otherwise(F.col("body")))
+    terms_ = batch.terms.groupBy("qid").agg(F.count("*").alias("n_terms"))
+    held = batch.terms.join(batch.weights.select("term", "rowid"), "term").groupBy("qid", "rowid").agg(F.count("*").alias("hits"))
+    gold = held.join(terms_, "qid").where("hits >= least(n_terms, 9)").select("qid", "rowid")
+    types = batch.questions.select("qid", F.when(F.col("text").rlike(SYMBOL), "symbol").otherwise(F.concat(F.lit("text_"), (F.col("qid") % 2).cast("string"))).alias("type"))
+    return V_.ablation(written(placed, "placed"), written(gold, "gold"), types)
+
+
+@query("ablation_matrix", oracle("SELECT type, config, n, recall, mrr, context FROM ablated", *ABLATION))
+def ablation_matrix(s, d):
+    """Recall at 10, reciprocal rank and context size of the six configurations, for each type of question and for all."""
+    return ablated(s, d)
+
+
+@query("ablation_gain", oracle("SELECT type, " + ", ".join(f"max(recall) FILTER (config = '{c}') AS {c}" for c in CONFIGS) + ", round(coalesce(max(recall) FILTER (config = 'c6_rerank'), 0) - coalesce(max(recall) FILTER (config = 'c1_bm25'), 0), 6) AS gain FROM ablated GROUP BY 1", *ABLATION))
+def ablation_gain(s, d):
+    """Recall of each configuration beside each other, and what the last gains over the first."""
+    return V_.gains(ablated(s, d), list(CONFIGS))

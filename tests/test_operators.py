@@ -157,3 +157,23 @@ def test_numbered_over_many_ranges(spark, key):
         groups.setdefault(k if key else 0, []).append((-v, i))
     want = {i: n for g in groups.values() for n, (_, i) in enumerate(sorted(g), 1)}
     assert {r.i: r["rank"] for r in got} == want and len(got) == 400
+
+
+def test_citations_match_anchors_and_facts(spark):
+    from heddle.operators import citations as C
+
+    cites = spark.createDataFrame([(1, "f", "a.c", 3), (1, "f", "b.c", 9)], "task int, symbol string, path string, line_start int")
+    anchors = spark.createDataFrame([(1, 1, "f", "a.c", None), (1, 2, "f", "b.c", 9), (1, 3, "f", "b.c", 8), (2, 1, "f", "a.c", None)], "task int, anchor int, symbol string, path string, line_start int")
+    assert {(r.task, r.anchor): r.matched for r in C.matches(cites, anchors).collect()} == {(1, 1): True, (1, 2): True, (1, 3): False, (2, 1): False}
+    claims = spark.createDataFrame([("x", "f1", "p"), ("x", "f2", "q"), ("y", "f1", "other"), ("z", "gone", "p"), ("w", "f1", None)], "answer string, fact string, payload string")
+    known = spark.createDataFrame([("f1", "p"), ("f2", "q")], "fact string, payload string")
+    assert {r.answer: r.valid for r in C.selected_facts(claims, known).collect()} == {"x": True, "y": False, "z": False, "w": False}
+
+
+def test_question_parts(spark):
+    from heddle.functions import queries as Q
+
+    row = spark.createDataFrame([("谁调用 parsed_HTTPValues 和 x",)], "t string").select(Q.enriched("t").alias("e"), Q.query_parts("t").alias("p"), Q.expansion("t").alias("x")).first()
+    assert row.e == "谁调用 parsed_HTTPValues 和 x call caller"
+    assert row.p == ["httpvalues", "parse", "parsed"]  # `call` and `caller` are stop words, and only parts themselves have other forms
+    assert row.x == "httpvalues parsed"

@@ -70,6 +70,32 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return out.otherwise("current")
 
 
+def approved_current(cards: DataFrame, anchors: DataFrame, experiments: DataFrame, questions: DataFrame, reviews: DataFrame, confirmations: DataFrame, scope: str = "formal") -> DataFrame:
+    """card, valid, reason: whether each card's approval still holds, and the first link of the chain that doesn't.
+
+    * cards (card, artifact_scope, review_bundle, bundle: the hash now); anchors and experiments (card, valid, reason); a card without a row in them is `anchors_missing`, or has no experiments to hold.
+    * questions (card, status, bundle, scope, reviewer_type); reviews (card, seq, action, scope, reviewer_type); confirmations (card, bundle, reviewer_type).
+    In the formal scope people must have passed the questions, approved, and confirmed this very bundle.
+    """
+    formal = scope == "formal"
+    human = (F.col("reviewer_type") == "human") if formal else F.lit(True)
+    own = cards.select("card", F.coalesce("artifact_scope", F.lit("formal")).alias("scope"), "review_bundle", "bundle")
+    passed = questions.where((F.col("status") == "passed") & (F.col("scope") == scope) & human).select("card", "bundle").distinct().withColumn("passed", F.lit(True))
+    last = reviews.where("action = 'approve'").groupBy("card").agg(F.max_by(F.struct("scope", "reviewer_type"), "seq").alias("r"))
+    sure = confirmations.where("reviewer_type = 'human'").select("card", "bundle").distinct().withColumn("sure", F.lit(True))
+    rows = own.join(anchors.select("card", F.col("valid").alias("a_valid"), F.col("reason").alias("a_reason")), "card", "left")
+    rows = rows.join(experiments.select("card", F.col("valid").alias("e_valid"), F.col("reason").alias("e_reason")), "card", "left")
+    rows = rows.join(passed, ["card", "bundle"], "left").join(last, "card", "left").join(sure, ["card", "bundle"], "left")
+    reason = F.when(F.col("a_valid").isNull(), "anchors_missing").when(~F.col("a_valid"), F.col("a_reason")).when(F.col("scope") != scope, "artifact_scope_not_visible")
+    if formal:
+        reason = reason.when(F.col("e_valid") == False, F.col("e_reason"))  # noqa: E712
+    reason = reason.when(~F.col("review_bundle").eqNullSafe(F.col("bundle")), "review_bundle_changed").when(F.col("passed").isNull(), "qa_no_longer_valid")
+    reason = reason.when(F.col("r").isNull() | ~F.col("r.scope").eqNullSafe(F.lit(scope)), "approval_scope_invalid")
+    if formal:
+        reason = reason.when(~F.col("r.reviewer_type").eqNullSafe(F.lit("human")), "formal_approval_requires_human").when(F.col("sure").isNull(), "formal_approval_requires_current_confirmation")
+    return rows.select("card", reason.isNull().alias("valid"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
 def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key: a replay of a log of transitions. One partial aggregate, no sort of the log."""
     return events.groupBy(key).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), F.struct(*order)).alias("r")).select(key, "r.*")

@@ -11,6 +11,22 @@ def dedup_edges(observed: DataFrame) -> DataFrame:
     return observed.groupBy("src", "dst", "confidence").agg(F.countDistinct("tu").alias("n_obs"))
 
 
+def merged(observed: DataFrame) -> DataFrame:
+    """src, dst, kind, confidence, reason, n_obs: relations by kind and certainty, with the first reason given and the number of units that show them.
+
+    `observed`: tu, seq, src, dst, kind, confidence, reason.
+    """
+    return observed.groupBy("src", "dst", "kind", "confidence").agg(F.min_by("reason", F.struct("tu", "seq")).alias("reason"), F.countDistinct("tu").alias("n_obs"))
+
+
+def purge(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges whose ends both exist, the number of the others as n_orphans)."""
+    ids = nodes.select("id").distinct()
+    held = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    gone = edges.agg(F.count("*").alias("n")).crossJoin(held.agg(F.count("*").alias("m")))
+    return held, gone.select((F.col("n") - F.col("m")).alias("n_orphans"))
+
+
 def definition_wins(nodes: DataFrame, key: str = "name") -> DataFrame:
     """One node a key: definitions before declarations, then the least id."""
     first = F.min_by(F.struct(*nodes.columns), F.struct((~F.col("is_definition")).cast("int"), "id"))

@@ -63,6 +63,16 @@ def edge_obs(s: SparkSession, d: str) -> DataFrame:
     return nexts.where("dst is not null and dst <> src").select("tu", "src", "dst", confidence)
 
 
+def seen(s: SparkSession, d: str) -> DataFrame:
+    """tu, seq, src, dst, kind, confidence, reason: observed relations by kind, each with the reason its line gives."""
+    sites = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("tu"), F.col("l_linenumber").alias("seq")).agg(
+        F.min("l_partkey").alias("src"), F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls")
+    )
+    nexts = sites.withColumn("dst", F.lead("src").over(Window.partitionBy("tu").orderBy("seq"))).where("dst is not null and dst <> src")
+    kind = F.when(F.col("seq") <= 3, "calls").when(F.col("seq") == 4, "type_use").when(F.col("seq") == 5, "field_access").when(F.col("seq") == 6, "global_ref").otherwise("includes")
+    return nexts.select("tu", "seq", "src", "dst", kind.alias("kind"), F.when(F.col("rf") == "R", "candidate").otherwise("certain").alias("confidence"), F.concat_ws(":", "ls", F.col("seq").cast("string")).alias("reason"))
+
+
 def typed(s: SparkSession, d: str) -> DataFrame:
     """src, dst, kind: confirmed relations, their kind by the place in the order."""
     sites = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("tu"), F.col("l_linenumber").alias("ln")).agg(

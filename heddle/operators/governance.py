@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.incremental import merkle
+
 # Patterns of secrets, roles, public licences and the size limit of a session's messages.
 SECRETS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
@@ -113,8 +115,6 @@ def trace_legality(events: DataFrame, most: int, before: dict[str, str]) -> Data
 
 
 def bundle_hash(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
-    """key, n, bundle: SHA-1 over the hashes of a group's contents in order."""
-    hashed = rows.select(key, order, F.sha1(F.col(content).cast("binary")).alias("h"))
-    listed = F.array_sort(F.collect_list(F.struct(order, "h")))
-    joined = F.array_join(F.transform(listed, lambda x: x["h"]), "|")
-    return hashed.groupBy(key).agg(F.count("*").alias("n"), F.sha1(joined.cast("binary")).alias("bundle"))
+    """key, n, bundle: a hash of a group's contents under their numbers; sums of hashes, so a group of any size is no list."""
+    hashed = rows.select(key, order, F.sha1(F.col(content).cast("binary")).alias("hash"))
+    return merkle(hashed, key, order).select(key, F.col("n_children").alias("n"), F.col("hash").alias("bundle"))

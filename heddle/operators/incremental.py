@@ -31,11 +31,18 @@ def refresh(observed: DataFrame, again: DataFrame) -> DataFrame:
     return observed.join(again.select("tu").distinct(), "tu", "left_anti").unionByName(again)
 
 
+def rollup(children: DataFrame, parent: str, content: str = "hash") -> DataFrame:
+    """parent, n_children, hash: a hash of the children's hashes that no order changes; sums only, so no list of a parent's children is built."""
+    mark = F.conv(F.substring(content, 1, 12), 16, 10).cast("decimal(20,0)")
+    other = F.conv(F.substring(content, 13, 12), 16, 10).cast("decimal(20,0)")
+    sums = children.groupBy(parent).agg(F.count("*").alias("n_children"), F.sum(mark).alias("a"), F.sum(other).alias("b"))
+    return sums.select(parent, "n_children", F.sha1(F.concat_ws("|", *(F.col(c).cast("string") for c in ("n_children", "a", "b"))).cast("binary")).alias("hash"))
+
+
 def merkle(children: DataFrame, parent: str, child: str, content: str = "hash") -> DataFrame:
-    """parent, n_children, hash: SHA-1 over the children's hashes in order of the child key."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(child).alias("k"), F.col(content).alias("h"))))
-    joined = F.array_join(F.transform(listed, lambda x: x["h"]), "|")
-    return children.groupBy(parent).agg(F.count("*").alias("n_children"), F.sha1(joined.cast("binary")).alias("hash"))
+    """parent, n_children, hash: a roll-up of what each child is called and holds; it changes with any of them, and no parent's children meet in one row."""
+    named = F.sha1(F.concat_ws(":", F.col(child).cast("string"), F.col(content)).cast("binary"))
+    return rollup(children.select(parent, named.alias("hash")), parent)
 
 
 def orphans(rows: DataFrame, key: str, used: DataFrame, used_key: str) -> DataFrame:

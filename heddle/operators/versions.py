@@ -6,18 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.operators.dependencies import propagate
+from heddle.operators.incremental import rollup  # noqa: F401
 
 STATE = "id string, level string, input_hash string, status string, version bigint, revision string"
 
 
-def rollup(children: DataFrame, parent: str, content: str = "hash") -> DataFrame:
-    """parent, n_children, hash: a hash of the children's hashes that no order changes; sums only, so no list of a parent's children is built."""
-    mark = F.conv(F.substring(content, 1, 12), 16, 10).cast("decimal(20,0)")
-    other = F.conv(F.substring(content, 13, 12), 16, 10).cast("decimal(20,0)")
-    sums = children.groupBy(parent).agg(F.count("*").alias("n_children"), F.sum(mark).alias("a"), F.sum(other).alias("b"))
-    return sums.select(parent, "n_children", F.sha1(F.concat_ws("|", *(F.col(c).cast("string") for c in ("n_children", "a", "b"))).cast("binary")).alias("hash"))
-
-
 def merge(old: DataFrame, pages: DataFrame, revision: str) -> DataFrame:
     """The state after a generation, with `changed`: whether the row differs from the one before.
 

@@ -46,6 +46,12 @@ def oracle(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ", ".join([PRELUDE.strip(), *more]) + " " + body
 
 
+def rollup_sql(child: str, content: str) -> str:
+    """The hash of `incremental.merkle` over the rows of a group."""
+    h = f"sha1(concat_ws(':', {child}, {content}))"
+    return f"sha1(concat_ws('|', count(*), sum(('0x' || substr({h}, 1, 12))::BIGINT), sum(('0x' || substr({h}, 13, 12))::BIGINT)))"
+
+
 def node(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"),

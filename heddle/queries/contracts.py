@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.text import short_id
 from heddle.operators import contracts as C
+from heddle.operators.incremental import merkle
 from heddle.operators.ranking import numbered
 from heddle.plans import facts
 from heddle.plans.facts import oracle
@@ -256,13 +257,12 @@ def orphans_after_removal(s, d):
     return orphans(nodes.select("id"), "id", used, "used").select(F.lit("node").alias("kind"), "id").unionByName(lost.select(F.lit("edge").alias("kind"), "id"))
 
 
-@query("fingerprint_catalog", oracle("SELECT 'node' AS kind, id::VARCHAR AS name, sha1(concat_ws('|', name, kind, path)) AS hash FROM node UNION ALL SELECT 'module', path, sha1(string_agg(name, '|' ORDER BY name, id)) FROM node GROUP BY path"))
+@query("fingerprint_catalog", oracle("SELECT 'node' AS kind, id::VARCHAR AS name, sha1(concat_ws('|', name, kind, path)) AS hash FROM node UNION ALL SELECT 'module', path, " + facts.rollup_sql('id', 'name') + " FROM node GROUP BY path"))
 def fingerprint_catalog(s, d):
     """Hashes of nodes, and of modules over their nodes' names."""
     nodes = facts.node(s, d)
     own = nodes.select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("name"), F.sha1(F.concat_ws("|", "name", "kind", "path").cast("binary")).alias("hash"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("name", "id"))), lambda x: x["name"])
-    mods = nodes.groupBy("path").agg(F.sha1(F.array_join(listed, "|").cast("binary")).alias("hash"))
+    mods = merkle(nodes, "path", "id", "name")
     return own.unionByName(mods.select(F.lit("module").alias("kind"), F.col("path").alias("name"), "hash"))
 
 

@@ -114,7 +114,7 @@ def card_latest_state(s, d):
     return last.select("run", F.col("ordinal").alias("last_ordinal"), F.col("tool").alias("state"))
 
 
-@query("bundle_hash", oracle("SELECT source, count(*) AS n, sha1(string_agg(sha1(text), '|' ORDER BY doc_id)) AS bundle FROM documents GROUP BY 1"))
+@query("bundle_hash", oracle(f"SELECT source, count(*) AS n, {facts.rollup_sql('doc_id', 'sha1(text)')} AS bundle FROM documents GROUP BY 1"))
 def bundle_hash(s, d):
     return V.bundle_hash(table(s, d, "documents"), "source", "doc_id", "text")
 

@@ -8,7 +8,7 @@ from heddle.operators import incremental as I
 from heddle.operators.dependencies import propagate
 from heddle.operators.graph import dedup_edges
 from heddle.plans import facts
-from heddle.plans.facts import oracle
+from heddle.plans.facts import oracle, rollup_sql
 from heddle.registry import query
 from heddle.sources.tables import table
 
@@ -77,8 +77,9 @@ def orphan_edges(s, d):
     return I.orphans(facts.edge_obs(s, d).select("tu", "src", "dst"), "tu", table(s, d, "orders"), "o_orderkey")
 
 
-FILES = "files AS (SELECT c_nationkey AS nation, count(*) AS n_children, sha1(string_agg(sha1(c_name || ':' || c_mktsegment), '|' ORDER BY c_custkey)) AS hash FROM customer GROUP BY 1)"
-MODULES = "modules AS (SELECT n_regionkey AS region, count(*) AS n_children, sha1(string_agg(hash, '|' ORDER BY nation)) AS hash FROM files JOIN nation ON n_nationkey = nation GROUP BY 1)"
+HELD = "sha1(c_name || ':' || c_mktsegment)"
+FILES = f"files AS (SELECT c_nationkey AS nation, count(*) AS n_children, {rollup_sql('c_custkey', HELD)} AS hash FROM customer GROUP BY 1)"
+MODULES = f"modules AS (SELECT n_regionkey AS region, count(*) AS n_children, {rollup_sql('nation', 'hash')} AS hash FROM files JOIN nation ON n_nationkey = nation GROUP BY 1)"
 
 
 def merkle_files(s, d):
@@ -101,7 +102,7 @@ def merkle_module(s, d):
     return merkle_modules(s, d)
 
 
-@query("merkle_repo", oracle("SELECT 'repo' AS repo, count(*) AS n_children, sha1(string_agg(hash, '|' ORDER BY region)) AS hash FROM modules", FILES, MODULES))
+@query("merkle_repo", oracle(f"SELECT 'repo' AS repo, count(*) AS n_children, {rollup_sql('region', 'hash')} AS hash FROM modules", FILES, MODULES))
 def merkle_repo(s, d):
     return I.merkle(merkle_modules(s, d).withColumn("repo", F.lit("repo")), "repo", "region")
 

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> dict[str, tuple[Query, str | None]]:
-    from heddle.queries import citations, contracts, dependencies, evaluation, governance, graph, incremental, pages, retrieval, sources, versions, wiki  # noqa: F401
+    from heddle.queries import citations, contracts, dependencies, evaluation, governance, graph, heads, incremental, pages, retrieval, sources, versions, wiki  # noqa: F401
 
     return OPS
 

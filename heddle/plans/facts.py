@@ -19,7 +19,7 @@ node AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand || '/'
 obs AS (SELECT l_orderkey AS tu, l_linenumber AS ln, min(l_partkey) AS p, max(l_returnflag) AS rf FROM lineitem GROUP BY 1, 2),
 nexts AS (SELECT tu, ln, p, rf, lead(p) OVER (PARTITION BY tu ORDER BY ln) AS q FROM obs),
 edge_obs AS (SELECT tu, p AS src, q AS dst, CASE rf WHEN 'R' THEN 'candidate' ELSE 'certain' END AS confidence FROM nexts WHERE q IS NOT NULL AND q <> p),
-typed AS (SELECT DISTINCT p AS src, q AS dst, CASE WHEN ln <= 3 THEN 'calls' WHEN ln = 4 THEN 'type_use' WHEN ln = 5 THEN 'field_access' WHEN ln = 6 THEN 'global_ref' ELSE 'includes' END AS kind FROM nexts WHERE q IS NOT NULL AND q <> p AND rf <> 'R'),
+typed AS (SELECT DISTINCT p AS src, q AS dst, CASE WHEN ln <= 2 THEN 'calls' WHEN ln = 3 THEN 'type_use' WHEN ln = 4 THEN 'field_access' WHEN ln = 5 THEN 'global_ref' ELSE 'includes' END AS kind FROM nexts WHERE q IS NOT NULL AND q <> p AND rf <> 'R'),
 edge AS (SELECT src, dst, confidence, count(DISTINCT tu) AS n_obs FROM edge_obs GROUP BY 1, 2, 3),
 certain AS (SELECT DISTINCT src, dst FROM edge_obs WHERE confidence = 'certain'),
 chunk AS (SELECT d.doc_id AS rowid, d.text, d.source, d.lang, CASE WHEN l.quality = 1 THEN 'A' WHEN l.quality = 0 THEN 'B' ELSE 'C' END AS level, coalesce(l.toxic, 0) = 0 AS visible FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
@@ -75,7 +75,7 @@ def seen(s: SparkSession, d: str) -> DataFrame:
         F.min("l_partkey").alias("src"), F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls")
     )
     nexts = sites.withColumn("dst", F.lead("src").over(Window.partitionBy("tu").orderBy("seq"))).where("dst is not null and dst <> src")
-    kind = F.when(F.col("seq") <= 3, "calls").when(F.col("seq") == 4, "type_use").when(F.col("seq") == 5, "field_access").when(F.col("seq") == 6, "global_ref").otherwise("includes")
+    kind = F.when(F.col("seq") <= 2, "calls").when(F.col("seq") == 3, "type_use").when(F.col("seq") == 4, "field_access").when(F.col("seq") == 5, "global_ref").otherwise("includes")
     return nexts.select("tu", "seq", "src", "dst", kind.alias("kind"), F.when(F.col("rf") == "R", "candidate").otherwise("certain").alias("confidence"), F.concat_ws(":", "ls", F.col("seq").cast("string")).alias("reason"))
 
 
@@ -86,7 +86,7 @@ def typed(s: SparkSession, d: str) -> DataFrame:
     )
     nexts = sites.withColumn("dst", F.lead("src").over(Window.partitionBy("tu").orderBy("ln")))
     ln = F.col("ln")
-    kind = F.when(ln <= 3, "calls").when(ln == 4, "type_use").when(ln == 5, "field_access").when(ln == 6, "global_ref").otherwise("includes")
+    kind = F.when(ln <= 2, "calls").when(ln == 3, "type_use").when(ln == 4, "field_access").when(ln == 5, "global_ref").otherwise("includes")
     return nexts.where("dst is not null and dst <> src and rf <> 'R'").select("src", "dst", kind.alias("kind")).distinct()
 
 

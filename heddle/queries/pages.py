@@ -15,7 +15,7 @@ from heddle.sources.tables import table
 SEEN = (
     "site AS (SELECT l_orderkey AS tu, l_linenumber AS seq, min(l_partkey) AS p, max(l_returnflag) AS rf, max(l_linestatus) AS ls FROM lineitem GROUP BY 1, 2)",
     "after AS (SELECT *, lead(p) OVER (PARTITION BY tu ORDER BY seq) AS q FROM site)",
-    "seen AS MATERIALIZED (SELECT tu, seq, p AS src, q AS dst, CASE WHEN seq <= 3 THEN 'calls' WHEN seq = 4 THEN 'type_use' WHEN seq = 5 THEN 'field_access' WHEN seq = 6 THEN 'global_ref' ELSE 'includes' END AS kind, CASE rf WHEN 'R' THEN 'candidate' ELSE 'certain' END AS confidence, concat_ws(':', ls, seq) AS reason FROM after WHERE q IS NOT NULL AND q <> p)",
+    "seen AS MATERIALIZED (SELECT tu, seq, p AS src, q AS dst, CASE WHEN seq <= 2 THEN 'calls' WHEN seq = 3 THEN 'type_use' WHEN seq = 4 THEN 'field_access' WHEN seq = 5 THEN 'global_ref' ELSE 'includes' END AS kind, CASE rf WHEN 'R' THEN 'candidate' ELSE 'certain' END AS confidence, concat_ws(':', ls, seq) AS reason FROM after WHERE q IS NOT NULL AND q <> p)",
     "rel AS MATERIALIZED (SELECT src, dst, kind, confidence, arg_min(reason, (tu, seq)) AS reason, count(DISTINCT tu) AS n_obs FROM seen GROUP BY 1, 2, 3, 4)",
     "whence AS MATERIALIZED (SELECT r.*, a.path AS src_path, a.name AS src_name, b.path AS dst_path, b.name AS dst_name, a.p_size AS line_start FROM rel r JOIN node a ON a.id = src JOIN node b ON b.id = dst)",
 )

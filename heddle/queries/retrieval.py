@@ -83,8 +83,8 @@ class Batch:
         self.questions = facts.question(s, d)
         self.terms = R.query_terms(self.questions)
         self.meta = written(facts.meta(s, d), "meta")
-        self.weights = written(X.weighted(facts.matched(s, d, self.terms), facts.corpus(self.meta)), "weights")
-        self.search = X.Search(X.blocks(self.weights), self.terms)
+        self.search = X.Search(X.blocks(X.weighted(facts.matched(s, d, self.terms), facts.corpus(self.meta))), self.terms)
+        self.weights = self.search.index.select("term", F.inline("rows"))
         self.text = written(self.search.best(), "text")
 
     @cached_property

@@ -45,19 +45,24 @@ def links(ids: list[bytes], sets: list[np.ndarray], left: np.ndarray, right: np.
     col = np.repeat(np.cumsum(count > 1) - 1, count)[keep]
     row = owner[keep]
     width = int(col[-1]) + 1 if len(col) else 0
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(64, min(4096, 16_000_000 // max(1, len(sets))))
+    here, there = np.flatnonzero(left), np.flatnonzero(right)
+    same = np.array_equal(here, there)
+    both = np.zeros((len(here), len(there)), np.float32)
+    step = max(64, min(4096, 4_000_000 // max(1, len(sets))))
     for c in range(0, width, step):
         a, z = np.searchsorted(col, [c, c + step])
         x = np.zeros((len(sets), step), np.float32)
         x[row[a:z], col[a:z] - c] = 1
-        both += x @ x.T
+        mine = x[here]
+        both += mine @ (mine if same else x[there]).T
     forest = Forest(len(sets))
-    least = (100 * both.astype(np.int64) >= percent * (n[:, None] + n[None, :] - both.astype(np.int64))) & (both > 0)
-    least &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
-    for i, j in zip(*np.nonzero(np.triu(least, 1))):
-        if forest.join(int(i), int(j)):
-            yield min(ids[int(i)], ids[int(j)]), max(ids[int(i)], ids[int(j)])
+    for k in range(0, len(here), 256):  # a few rows at a time, so that memory stays that of one matrix
+        some = both[k : k + 256].astype(np.int32)
+        near = (100 * some >= percent * (n[here[k : k + 256], None] + n[None, there] - some)) & (some > 0)
+        for i, j in zip(*np.nonzero(near)):
+            i, j = int(here[k + i]), int(there[j])
+            if forest.join(i, j):
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
 
 def within(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialize
+from heddle.llm.common import discard, materialize
 from heddle.llm.components import components
 
 BLOCK = 400_000  # shingles in a block of a family
@@ -107,4 +107,6 @@ def within(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     work = units.join(full, "id")
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = work.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
-    return work.select("family", "i", "j", "id", "block", "shingles").mapInArrow(run, "a binary, b binary")
+    out = materialize(work.select("family", "i", "j", "id", "block", "shingles").mapInArrow(run, "a binary, b binary"), "within")
+    discard(member, found)
+    return out

@@ -202,4 +202,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # Without words a row is its own component, and so is the first of a component without ids.
     out = rows.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "version")
     out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "version")
+    out = materialize(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "version"), "marked")
+    discard(sig, sets, found)
+    return out

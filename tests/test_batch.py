@@ -47,3 +47,15 @@ def test_lexical_lanes(spark):
     for lane, want in (("text", R.bm25(scores)), ("card", R.card_lane(scores, cards))):
         got = both.where(F.col("lane") == lane).select("qid", "rowid", "score", "rank").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want.select("qid", "rowid", "score", "rank").collect()))
+
+
+def test_lines_are_dealt_once(spark, sf):
+    for rows, shuffles in ((facts.edge_obs(spark, sf), 1), (facts.typed(spark, sf), 2)):  # the second also for distinct rows
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
+
+
+def test_links(spark, sf):
+    meta = facts.meta(spark, sf)
+    ids = {r.rowid for r in meta.select("rowid").collect()}
+    want = sorted((r.src, r.dst) for r in facts.certain(spark, sf).collect() if r.src in ids and r.dst in ids)
+    assert sorted(map(tuple, facts.links(spark, sf, meta).collect())) == want and want
